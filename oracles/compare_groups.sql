@@ -1,0 +1,38 @@
+WITH log AS (
+  SELECT event_id, ts, user_id,
+         CASE WHEN event_type IN ('view', 'error') THEN 'search'
+              WHEN event_type = 'click' THEN 'detail' ELSE 'other' END AS kind,
+         CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 0 END AS result_count,
+         CASE WHEN event_type = 'error' THEN 'no_result' WHEN event_type = 'view' THEN 'search'
+              WHEN event_type = 'click' THEN 'detail' ELSE 'other' END AS step,
+         CAST(CAST(json_extract_string(props, '$.k') AS INT) // 10 AS VARCHAR) AS area,
+         CAST(CAST(json_extract_string(props, '$.k') AS INT) % 10 AS VARCHAR) AS price
+  FROM events
+), next_detail AS (
+  SELECT s.event_id, min(d.event_id) AS detail_event_id, min(d.ts) AS detail_ts
+  FROM log s JOIN log d ON d.user_id = s.user_id AND d.kind = 'detail'
+   AND (d.ts, d.event_id) > (s.ts, s.event_id) AND d.ts <= s.ts + INTERVAL 6 HOUR
+  WHERE s.kind = 'search'
+    AND NOT EXISTS (
+      SELECT 1 FROM log b
+      WHERE b.user_id = s.user_id AND b.kind = 'search'
+        AND (b.ts, b.event_id) > (s.ts, s.event_id) AND (b.ts, b.event_id) < (d.ts, d.event_id))
+  GROUP BY s.event_id
+), entries AS (
+  SELECT s.event_id, s.user_id, s.ts, s.result_count,
+         d.event_id IS NOT NULL AS entered, d.detail_event_id, d.detail_ts
+  FROM log s LEFT JOIN next_detail d USING (event_id)
+  WHERE s.kind = 'search'
+), counts AS (
+  SELECT count(*) FILTER (WHERE result_count > 0) AS n_a,
+         count(*) FILTER (WHERE result_count > 0 AND entered) AS hits_a,
+         count(*) FILTER (WHERE result_count = 0) AS n_b,
+         count(*) FILTER (WHERE result_count = 0 AND entered) AS hits_b
+  FROM entries
+)
+SELECT *, hits_a / n_a AS rate_a, hits_b / n_b AS rate_b,
+       round(hits_a / n_a - hits_b / n_b, 6) AS difference,
+       round((hits_a / n_a - hits_b / n_b)
+             / sqrt((hits_a + hits_b) / (n_a + n_b) * (1 - (hits_a + hits_b) / (n_a + n_b))
+                    * (1.0 / n_a + 1.0 / n_b)), 6) AS z
+FROM counts
