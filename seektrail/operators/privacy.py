@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+
+class Pattern(NamedTuple):
+    """A regular expression, and a text that every match contains."""
+
+    contains: str
+    regex: str
+
+
 # What counts as personal data in text. Lengths are bounded so that long runs of
 # letters cannot make matching slow.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}",
-    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
-    "phone": r"[0-9]{3}-[0-9]{3,4}-[0-9]{4}",
+    "email": Pattern("@", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}"),
+    "ip": Pattern(".", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    "phone": Pattern("-", r"[0-9]{3}-[0-9]{3,4}-[0-9]{4}"),
 }
 
 
@@ -41,12 +51,14 @@ def pseudonymize(
 
 
 def pii_scan(
-    df: DataFrame, text_col: str, patterns: Mapping[str, str] = PATTERNS
+    df: DataFrame, text_col: str, patterns: Mapping[str, Pattern] = PATTERNS
 ) -> DataFrame:
     """Rows with hits, and hits, per pattern over the whole texts, all in one pass."""
     counts = df.select(
         *[
-            F.regexp_count(F.col(text_col), F.lit(p)).alias(f"hits_{i}")
+            F.when(F.contains(F.col(text_col), F.lit(p.contains)), F.regexp_count(text_col, F.lit(p.regex)))
+            .otherwise(0)
+            .alias(f"hits_{i}")
             for i, p in enumerate(patterns.values())
         ]
     )
@@ -62,10 +74,11 @@ def pii_scan(
 
 
 def pii_mask(
-    df: DataFrame, text_col: str, patterns: Mapping[str, str] = PATTERNS
+    df: DataFrame, text_col: str, patterns: Mapping[str, Pattern] = PATTERNS
 ) -> DataFrame:
     """The table with every hit in the text replaced by its pattern's name in brackets."""
     text = F.col(text_col)
     for name, pattern in patterns.items():
-        text = F.regexp_replace(text, pattern, f"[{name}]")
+        masked = F.regexp_replace(text, pattern.regex, f"[{name}]")
+        text = F.when(F.contains(text, F.lit(pattern.contains)), masked).otherwise(text)
     return df.withColumn(text_col, text)

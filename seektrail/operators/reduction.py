@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seektrail.functions.hashing import BUCKETS, bucket
-from seektrail.plans.hot import MAX_HOT_KEYS, join_parent
+from seektrail.plans.hot import MAX_HOT_KEYS, join_parent, shared_dir
 from seektrail.sources.model import ForeignKey
 
 
@@ -142,8 +142,12 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
 def dictionary_encode(
     df: DataFrame, columns: Sequence[str]
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The table with text columns replaced by ids, and a dictionary for each column."""
-    dictionaries = {c: dictionary(df, c) for c in columns}
+    """The table with text columns replaced by ids, and a dictionary for each column.
+
+    Dictionaries are checkpointed: they are used more than once, and costly to derive.
+    """
+    shared_dir(df.sparkSession)
+    dictionaries = {c: dictionary(df, c).checkpoint() for c in columns}
     encoded = df
     for c, words in dictionaries.items():
         encoded = _replaced(encoded, c, words.select(F.col("value").alias(c), F.col("id").alias("new")))

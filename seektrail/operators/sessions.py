@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seektrail.functions.conditions import step
-from seektrail.plans.hot import spread_users
+from seektrail.plans.hot import spread_users, timeline_keys
 from seektrail.plans.neighbours import neighbour, timeline
 
 
@@ -21,13 +21,12 @@ def _steps(log: DataFrame) -> DataFrame:
 
 
 def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
-    """Aggregates per part of a session, where a session has one part in each slice it touches.
+    """Aggregates per part of a session: all of it, or what lies in one slice of a hot user.
 
-    Part 0 of a slice goes on with the last session of the slice before it. Rows carry
-    `position`, their place in the part counted from 0. `session` numbers the sessions of a user
-    and `offset` counts the session's events in earlier parts.
+    Rows carry `position`, their place in the part counted from 0. `session` numbers the
+    sessions of a user and `offset` counts the session's events in earlier parts.
     """
-    spec = timeline()
+    spec = timeline(steps)
     running = spec.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.col("prev").isNull() | (F.col("ts") > F.col("prev.ts") + F.lit(gap))
     parts = (
@@ -37,17 +36,24 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
         .withColumn("row", F.row_number().over(spec))
         .withColumn("first", F.last(F.when(F.col("starts"), F.col("row")), True).over(running))
         .withColumn("position", F.col("row") - F.coalesce("first", F.lit(1)))
-        .groupBy("user_id", "slice", "part")
+        .groupBy(*timeline_keys(steps), "part")
         .agg(F.count(F.lit(1)).alias("events"), *aggregates)
     )
-    by_user = Window.partitionBy("user_id").orderBy("slice", "part")
-    so_far = by_user.rowsBetween(Window.unboundedPreceding, 0)
+    if "slice" not in steps.columns:
+        return parts.withColumnRenamed("part", "session").withColumn("offset", F.lit(0))
+    # Part 0 of a slice goes on with the last session of the slice before it. A user has no more
+    # parts than sessions and slices, so these windows stay short.
+    so_far = (
+        Window.partitionBy("user_id")
+        .orderBy("slice", "part")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     is_first = F.col("part") > 0
-    seen = F.sum("events").over(so_far) - F.col("events")
+    seen_at_start = F.last(F.when(is_first, F.col("seen")), True).over(so_far)
     return (
         parts.withColumn("session", F.count(F.when(is_first, 1)).over(so_far))
-        .withColumn("seen", seen)
-        .withColumn("offset", F.col("seen") - F.last(F.when(is_first, F.col("seen")), True).over(so_far))
+        .withColumn("seen", F.sum("events").over(so_far) - F.col("events"))
+        .withColumn("offset", F.col("seen") - seen_at_start)
     )
 
 

@@ -117,19 +117,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread_users(log: DataFrame) -> DataFrame:
-    """Add `slice`: 0 for ordinary users, else the number of a stretch of the user's timeline.
+    """Add column `slice` if the log has hot users; leave it as it is otherwise.
 
-    Timelines of hot users are cut by range over (user, time, event) into stretches of about
-    equal row count, whatever the spread of the events over time. Slices of a user rise with
-    time. The cut is checkpointed because its limits come from a sample: all readers must see
-    the same one. Without hot users `slice` is a literal that Catalyst folds away.
+    Timelines of hot users are cut by range over (user, time, event) into slices of about equal
+    row count, whatever the spread of the events over time. Slices of a user rise with time. All
+    other users have slice 0. The cut is checkpointed because its limits come from a sample: all
+    readers must see the same one.
+
+    Operators call this themselves. Calling it before several operators cuts only once.
     """
     if "slice" in log.columns:
         return log
     spark = log.sparkSession
     hot = hot_keys(log, ["user_id"])
     if not hot:
-        return log.withColumn("slice", F.lit(0))
+        return log
     shared_dir(spark)
     table = hot_table(log, ["user_id"], hot)
     is_hot = null_safe([("user_id", "hot_user_id")])
@@ -142,3 +144,8 @@ def spread_users(log: DataFrame) -> DataFrame:
     )
     rest = log.join(table, is_hot, "left_anti").withColumn("slice", F.lit(0))
     return rest.unionByName(cut)
+
+
+def timeline_keys(log: DataFrame) -> list[str]:
+    """Columns that together name one stretch of one user's timeline."""
+    return ["user_id", "slice"] if "slice" in log.columns else ["user_id"]

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from seektrail.plans.hot import timeline_keys
 
-def timeline(ahead: bool = False) -> WindowSpec:
-    """The events of one slice of one user, in (ts, event_id) order."""
+BEFORE = (Window.unboundedPreceding, -1)
+
+
+def timeline(log: DataFrame, ahead: bool = False) -> WindowSpec:
+    """The events of one user, or of one slice of a user, in (ts, event_id) order."""
     order = [F.col("ts"), F.col("event_id")]
-    return Window.partitionBy("user_id", "slice").orderBy(
+    return Window.partitionBy(*timeline_keys(log)).orderBy(
         *[c.desc_nulls_first() if ahead else c.asc_nulls_first() for c in order]
     )
 
@@ -19,32 +23,43 @@ def neighbour(
 ) -> DataFrame:
     """Add struct `name`: `fields` of the nearest earlier row (later if `ahead`) with `where`.
 
-    `log` comes from `spread_users`. Within a slice this is one running window. What a slice
-    needs from the slices before it is at most one row, found by a partial aggregation and a
-    window over the slices of the user. That row joins the slice with null `ts`, so it sorts
-    first, and leaves again after the window. Only sliced rows go that way, so without hot
-    users all of it drops out of the plan.
+    `log` comes from `spread_users`. Looking ahead is looking back in descending order: a frame
+    that ends at the last row would be evaluated anew for each row.
+    """
+    if "slice" in log.columns:
+        return _across_slices(log, name, fields, where, ahead)
+    spec = timeline(log, ahead)
+    if where is None:
+        return log.withColumn(name, F.lag(fields).over(spec))
+    nearest = F.last(F.when(where, fields), ignorenulls=True)
+    return log.withColumn(name, nearest.over(spec.rowsBetween(*BEFORE)))
+
+
+def _across_slices(
+    log: DataFrame, name: str, fields: Column, where: Column | None, ahead: bool
+) -> DataFrame:
+    """The same where users are cut into slices.
 
-    Looking ahead is looking back in descending order: a frame that ends at the last row would
-    be evaluated anew for each row.
+    What a slice needs from the slices before it is at most one row, found by a partial
+    aggregation and a window over the slices of the user. That row joins the slice with null
+    `ts`, so it sorts first, and leaves again after the window over the slice.
     """
     hit = fields if where is None else F.when(where, fields)
     position = F.struct("ts", "event_id")
     edge = F.min_by if ahead else F.max_by
-    before = (Window.unboundedPreceding, -1)
     by_slice = Window.partitionBy("user_id").orderBy(F.desc("slice") if ahead else F.asc("slice"))
     edges = (
         log.filter("slice > 0")
         .groupBy("user_id", "slice")
         .agg(edge(fields, position if where is None else F.when(where, position)).alias("edge"))
-        .withColumn("edge", F.last("edge", ignorenulls=True).over(by_slice.rowsBetween(*before)))
+        .withColumn("edge", F.last("edge", ignorenulls=True).over(by_slice.rowsBetween(*BEFORE)))
         .filter(F.col("edge").isNotNull())
     )
     nearest = F.last(F.coalesce("edge", hit), ignorenulls=True)
     rows = log.withColumn("edge", F.lit(None).cast(edges.schema["edge"].dataType))
     return (
         rows.unionByName(edges, allowMissingColumns=True)
-        .withColumn(name, nearest.over(timeline(ahead).rowsBetween(*before)))
+        .withColumn(name, nearest.over(timeline(log, ahead).rowsBetween(*BEFORE)))
         .filter(F.col("edge").isNull())
         .drop("edge")
     )

@@ -30,7 +30,8 @@ def exact_percentiles(
         .withColumn("bin", F.floor(F.col("v") / BIN))
     )
     bins = counts.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    over_bins = Window.partitionBy(*by).orderBy("bin")
+    running = (Window.unboundedPreceding, 0)
+    over_bins = Window.partitionBy(*by).orderBy("bin").rowsBetween(*running)
     ranks = F.array(
         *[
             F.struct(F.lit(float(p)).alias("p"), end(F.lit(float(p)) * (F.col("rows") - 1)).alias("rank"))
@@ -48,7 +49,7 @@ def exact_percentiles(
         )
     )
     same_bin = null_safe([(c, f"wanted_{c}") for c in (*by, "bin")])
-    over_values = Window.partitionBy(*by, "bin").orderBy("v")
+    over_values = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(*running)
     found = (
         counts.join(wanted, same_bin)
         .withColumn("before", F.col("before") + F.sum("n").over(over_values) - F.col("n"))
