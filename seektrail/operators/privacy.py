@@ -80,5 +80,7 @@ def pii_mask(
     text = F.col(text_col)
     for name, pattern in patterns.items():
         masked = F.regexp_replace(text, pattern.regex, f"[{name}]")
-        text = F.when(F.contains(text, F.lit(pattern.contains)), masked).otherwise(text)
-    return df.withColumn(text_col, text)
+        df = df.withColumn(
+            text_col, F.when(F.contains(text, F.lit(pattern.contains)), masked).otherwise(text)
+        )
+    return df
