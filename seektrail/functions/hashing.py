@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 # Stands for null in hashed text, so that a null moved to another column changes the hash.
 NULL_MARK = "\\N"
 SEPARATOR = "\x1f"
+# Types whose text holds neither backslashes nor separators.
+PLAIN_TYPES = {
+    "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp",
+    "timestamp_ntz",
+}
 BUCKETS = 10_000
 
 
@@ -26,15 +31,11 @@ def bucket(column: str | Column) -> Column:
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row (rows, hash_1, hash_2): equal for equal multisets of rows in any order.
 
-    Each row's md5 gives two 32-bit words, summed over all rows. Backslashes in the text are
-    doubled first, so that no text looks like the null mark.
+    Each row's md5 gives two 32-bit words, summed over all rows. Columns of other types than
+    text, number, date and the like are hashed as Spark prints them.
     """
-    text = [
-        F.coalesce(
-            F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(NULL_MARK)
-        )
-        for c in columns or df.columns
-    ]
+    kinds = dict(df.dtypes)
+    text = [F.coalesce(_escaped(c, kinds[c]), F.lit(NULL_MARK)) for c in columns or df.columns]
     digest = F.md5(F.concat_ws(SEPARATOR, *text))
     words = df.select(
         *[_hex_word(digest, start).cast("bigint").alias(f"word_{i}") for i, start in ((1, 1), (2, 9))]
@@ -46,6 +47,15 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
+def _escaped(column: str, kind: str) -> Column:
+    """Text in which neither the null mark nor the separator can occur."""
+    text = F.col(column).cast("string")
+    if kind in PLAIN_TYPES or kind.startswith("decimal"):
+        return text
+    backslash = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(backslash, F.lit(SEPARATOR), F.lit("\\S"))
+
+
 def _wide_sum(word: str) -> Column:
     """Sum of 32-bit words as text.
 
