@@ -27,6 +27,11 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("seektrail.hotRows", str(HOT_ROWS)))
 
 
+# What was found, so that several operators on one log look for its hot users once. Should the
+# data have changed since, only the layout of the work is no longer the best.
+_found: dict[tuple, list[Row]] = {}
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
     """The keys (null included) with over `seektrail.hotRows` rows, and their estimated `rows`.
 
@@ -34,17 +39,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
     """
     limit = hot_rows(df.sparkSession)
     fraction = min(1.0, SAMPLE_HITS / limit)
-    sample = df.select(*keys)
-    if fraction < 1:
-        sample = sample.sample(fraction, seed=7)
-    return (
-        sample.groupBy(*keys)
-        .agg((F.count(F.lit(1)) / fraction).cast("bigint").alias("rows"))
-        .filter(F.col("rows") > limit)
-        .orderBy(F.desc("rows"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
+    columns = df.select(*keys)
+    known = (
+        df.sparkSession.sparkContext.applicationId,
+        columns.semanticHash(),
+        columns.schema.simpleString(),
+        limit,
     )
+    if known not in _found:
+        sample = columns if fraction == 1 else columns.sample(fraction, seed=7)
+        _found[known] = (
+            sample.groupBy(*keys)
+            .agg((F.count(F.lit(1)) / fraction).cast("bigint").alias("rows"))
+            .filter(F.col("rows") > limit)
+            .orderBy(F.desc("rows"))
+            .limit(MAX_HOT_KEYS)
+            .collect()
+        )
+    return _found[known]
 
 
 def hot_table(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:

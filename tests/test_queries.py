@@ -13,10 +13,25 @@ def connection():
     return duckdb_on(SF_DIR)
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 @pytest.mark.parametrize("name", list(registry.queries()))
 def test_query_equals_sql(spark, connection, name):
-    names, rows = spark_rows(registry.queries()[name](spark, SF_DIR))
-    expected_names, expected = sql_rows(connection, registry.oracle_sql()[name])
+    df, sql = registry.queries()[name](spark, SF_DIR), registry.oracle_sql()[name]
+    relation = connection.sql(sql)
+    expected_types = dict(zip(relation.columns, map(str, relation.types), strict=True))
+    assert {c: TYPES[t] for c, t in df.dtypes} == expected_types
+    names, rows = spark_rows(df)
+    expected_names, expected = sql_rows(connection, sql)
     assert names == expected_names
     assert len(rows) > 0
     assert rows == expected
