@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from datetime import timedelta
 from pathlib import Path
@@ -10,6 +11,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if str(Path(__file__).parent) not in sys.path:
+    sys.path.insert(0, str(Path(__file__).parent))
+
 from seektrail.functions.conditions import no_result
 from seektrail.functions.hashing import fingerprint as table_fingerprint
 from seektrail.operators import behaviour, privacy, quality, reduction, sessions, snapshots, tables

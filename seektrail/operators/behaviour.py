@@ -33,7 +33,7 @@ def _searches_with_previous(log: DataFrame, within: timedelta, *fields: str) ->
     """Searches with struct `prev`, the user's previous search if at most `within` ago."""
     columns = ["user_id", "event_id", "ts", *fields]
     searches = spread_users(log.filter(is_search()).select(*columns, *_slice(log)))
-    linked = neighbour(searches, "prev", F.struct("event_id", "ts", *fields))
+    linked = neighbour(searches, "prev", ["event_id", "ts", *fields])
     recent = F.col("ts") <= F.col("prev.ts") + F.lit(within)
     return linked.withColumn("prev", F.when(recent, F.col("prev")))
 
@@ -80,7 +80,7 @@ def _searches_with_next(log: DataFrame, within: timedelta) -> DataFrame:
         )
     )
     linked = neighbour(
-        steps, "next", F.struct("event_id", "ts", "kind", "result_count"), ahead=True
+        steps, "next", ["event_id", "ts", "kind", "result_count"], ahead=True
     )
     soon = F.col("next.ts") <= F.col("ts") + F.lit(within)
     return linked.filter(is_search()).withColumn("next", F.when(soon, F.col("next")))
@@ -129,7 +129,7 @@ def detail_attribution(log: DataFrame, within: timedelta) -> DataFrame:
             "user_id", "event_id", "ts", "kind", *_slice(log)
         )
     )
-    linked = neighbour(steps, "search", F.struct("event_id", "ts"), where=is_search())
+    linked = neighbour(steps, "search", ["event_id", "ts"], where=is_search())
     search = F.when(F.col("ts") <= F.col("search.ts") + F.lit(within), F.col("search"))
     return linked.filter(F.col("kind") == "detail").select(
         "event_id",

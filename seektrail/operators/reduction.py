@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seektrail.functions.hashing import BUCKETS, bucket
-from seektrail.plans.hot import MAX_HOT_KEYS, join_parent, shared_dir
+from seektrail.plans.hot import MAX_HOT_KEYS, join_parent, stored
 from seektrail.sources.model import ForeignKey
 
 
@@ -144,31 +144,30 @@ def dictionary_encode(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The table with text columns replaced by ids, and a dictionary for each column.
 
-    Dictionaries are checkpointed: they are used more than once, and costly to derive.
+    Dictionaries are stored: they are used more than once, and costly to derive.
     """
-    shared_dir(df.sparkSession)
-    dictionaries = {c: dictionary(df, c).checkpoint() for c in columns}
-    encoded = df
-    for c, words in dictionaries.items():
-        encoded = _replaced(encoded, c, words.select(F.col("value").alias(c), F.col("id").alias("new")))
-    return encoded.select(*df.columns), dictionaries
+    dictionaries = {c: stored(dictionary(df, c), "dictionary") for c in columns}
+    return _replaced(df, dictionaries, "value", "id"), dictionaries
 
 
 def dictionary_decode(encoded: DataFrame, dictionaries: Mapping[str, DataFrame]) -> DataFrame:
     """Puts the values back in place of the ids."""
-    decoded = encoded
-    for c, words in dictionaries.items():
-        decoded = _replaced(decoded, c, words.select(F.col("id").alias(c), F.col("value").alias("new")))
-    return decoded.select(*encoded.columns)
-
-
-def _replaced(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
-    small = lookup.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS
-    if small:
-        joined = df.join(F.broadcast(lookup), column, "left")
-    else:
-        joined = join_parent(df, lookup, [column], "left")
-    return joined.drop(column).withColumnRenamed("new", column)
+    return _replaced(encoded, dictionaries, "id", "value")
+
+
+def _replaced(
+    df: DataFrame, dictionaries: Mapping[str, DataFrame], old: str, new: str
+) -> DataFrame:
+    """Dictionaries counted to be small are broadcast, others joined with hot values salted."""
+    replaced = df
+    for column, words in dictionaries.items():
+        lookup = words.select(F.col(old).alias(column), F.col(new).alias("new"))
+        if words.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS:
+            joined = replaced.join(F.broadcast(lookup), column, "left")
+        else:
+            joined = join_parent(replaced, lookup, [column], "left", counted=df)
+        replaced = joined.drop(column).withColumnRenamed("new", column)
+    return replaced.select(*df.columns)
 
 
 def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:

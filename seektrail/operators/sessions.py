@@ -30,7 +30,7 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
     running = spec.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.col("prev").isNull() | (F.col("ts") > F.col("prev.ts") + F.lit(gap))
     parts = (
-        neighbour(steps, "prev", F.struct("ts"))
+        neighbour(steps, "prev", ["ts"])
         .withColumn("starts", starts)
         .withColumn("part", F.count(F.when(F.col("starts"), 1)).over(running))
         .withColumn("row", F.row_number().over(spec))
@@ -81,7 +81,7 @@ def search_sessions(log: DataFrame, gap: timedelta) -> DataFrame:
 def transitions(log: DataFrame) -> DataFrame:
     """How often each step was directly followed by each other step of the same user."""
     return (
-        neighbour(_steps(log), "next", F.struct("step"), ahead=True)
+        neighbour(_steps(log), "next", ["step"], ahead=True)
         .filter(F.col("next").isNotNull())
         .groupBy("step", F.col("next.step").alias("next_step"))
         .agg(F.count(F.lit(1)).alias("pairs"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -83,17 +84,22 @@ def null_safe(pairs: Sequence[tuple[str | Column, str | Column]]) -> Column:
 
 
 def join_parent(
-    child: DataFrame, parent: DataFrame, keys: Sequence[str], how: str = "inner"
+    child: DataFrame,
+    parent: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join many child rows to the at most one parent row of their key.
 
     `how` is inner, left, left_semi or left_anti. Child rows of a hot key are dealt out over
     several salts by the task that holds them, which stays the same when a task is repeated,
     and the parent row is copied to each salt. Null keys, which find no parent, are dealt out
-    alike.
+    alike. Hot keys are looked for in `counted`, a table that holds the same keys but is cheaper
+    to compute than `child`, if there is one.
     """
     keys = list(keys)
-    hot = hot_keys(child, keys)
+    hot = hot_keys(child if counted is None else counted, keys)
     if not hot:
         return child.join(parent, keys, how)
     table = hot_table(child, keys, hot)
@@ -128,13 +134,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read back, so that their lineage ends."""
+    path = f"{shared_dir(df.sparkSession)}/{name}_{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_users(log: DataFrame) -> DataFrame:
     """Add column `slice` if the log has hot users; leave it as it is otherwise.
 
     Timelines of hot users are cut by range over (user, time, event) into slices of about equal
     row count, whatever the spread of the events over time. Slices of a user rise with time. All
-    other users have slice 0. The cut is checkpointed because its limits come from a sample: all
-    readers must see the same one.
+    other users have slice 0. The cut is written to the shared folder because its limits come
+    from a sample: all readers must see the same one.
 
     Operators call this themselves. Calling it before several operators cuts only once.
     """
@@ -144,15 +157,14 @@ def spread_users(log: DataFrame) -> DataFrame:
     hot = hot_keys(log, ["user_id"])
     if not hot:
         return log
-    shared_dir(spark)
     table = hot_table(log, ["user_id"], hot)
     is_hot = null_safe([("user_id", "hot_user_id")])
     slices = max(2, 2 * sum(row["rows"] for row in hot) // hot_rows(spark))
-    cut = (
+    cut = stored(
         log.join(table, is_hot, "left_semi")
         .repartitionByRange(slices, "user_id", "ts", "event_id")
-        .withColumn("slice", F.spark_partition_id() + F.lit(1))
-        .checkpoint()
+        .withColumn("slice", F.spark_partition_id() + F.lit(1)),
+        "slices",
     )
     rest = log.join(table, is_hot, "left_anti").withColumn("slice", F.lit(0))
     return rest.unionByName(cut)

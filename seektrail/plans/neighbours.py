@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -14,52 +16,56 @@ def timeline(log: DataFrame, ahead: bool = False) -> WindowSpec:
     """The events of one user, or of one slice of a user, in (ts, event_id) order."""
     order = [F.col("ts"), F.col("event_id")]
     return Window.partitionBy(*timeline_keys(log)).orderBy(
-        *[c.desc_nulls_first() if ahead else c.asc_nulls_first() for c in order]
+        *[c.desc() if ahead else c.asc() for c in order]
     )
 
 
 def neighbour(
-    log: DataFrame, name: str, fields: Column, where: Column | None = None, ahead: bool = False
+    log: DataFrame,
+    name: str,
+    fields: Sequence[str],
+    where: Column | None = None,
+    ahead: bool = False,
 ) -> DataFrame:
     """Add struct `name`: `fields` of the nearest earlier row (later if `ahead`) with `where`.
 
     `log` comes from `spread_users`. Looking ahead is looking back in descending order: a frame
     that ends at the last row would be evaluated anew for each row.
     """
-    if "slice" in log.columns:
-        return _across_slices(log, name, fields, where, ahead)
+    sliced = "slice" in log.columns
+    rows = _with_row_before_slice(log, where, ahead) if sliced else log
     spec = timeline(log, ahead)
     if where is None:
-        return log.withColumn(name, F.lag(fields).over(spec))
-    nearest = F.last(F.when(where, fields), ignorenulls=True)
-    return log.withColumn(name, nearest.over(spec.rowsBetween(*BEFORE)))
+        # Field by field, so that the shuffle does not carry a second copy of them.
+        previous = F.struct(*[F.lag(f).over(spec).alias(f) for f in fields])
+        nearest = F.when(F.lag(F.lit(True)).over(spec), previous)
+    else:
+        hit = F.when(where, F.struct(*fields))
+        nearest = F.last(hit, ignorenulls=True).over(spec.rowsBetween(*BEFORE))
+    linked = rows.withColumn(name, nearest)
+    return linked.filter(~F.col("copied")).drop("copied") if sliced else linked
 
 
-def _across_slices(
-    log: DataFrame, name: str, fields: Column, where: Column | None, ahead: bool
-) -> DataFrame:
-    """The same where users are cut into slices.
+def _with_row_before_slice(log: DataFrame, where: Column | None, ahead: bool) -> DataFrame:
+    """Each slice with a copy, marked `copied`, of the nearest row with `where` in earlier ones.
 
-    What a slice needs from the slices before it is at most one row, found by a partial
-    aggregation and a window over the slices of the user. That row joins the slice with null
-    `ts`, so it sorts first, and leaves again after the window over the slice.
+    That row is found by a partial aggregation and a window over the slices of the user. It
+    sorts before all rows of the slice.
     """
-    hit = fields if where is None else F.when(where, fields)
     position = F.struct("ts", "event_id")
-    edge = F.min_by if ahead else F.max_by
-    by_slice = Window.partitionBy("user_id").orderBy(F.desc("slice") if ahead else F.asc("slice"))
-    edges = (
+    nearest = F.min_by if ahead else F.max_by
+    slices = Window.partitionBy("user_id").orderBy(F.desc("slice") if ahead else F.asc("slice"))
+    columns = [c for c in log.columns if c not in timeline_keys(log)]
+    copies = (
         log.filter("slice > 0")
         .groupBy("user_id", "slice")
-        .agg(edge(fields, position if where is None else F.when(where, position)).alias("edge"))
-        .withColumn("edge", F.last("edge", ignorenulls=True).over(by_slice.rowsBetween(*BEFORE)))
-        .filter(F.col("edge").isNotNull())
-    )
-    nearest = F.last(F.coalesce("edge", hit), ignorenulls=True)
-    rows = log.withColumn("edge", F.lit(None).cast(edges.schema["edge"].dataType))
-    return (
-        rows.unionByName(edges, allowMissingColumns=True)
-        .withColumn(name, nearest.over(timeline(log, ahead).rowsBetween(*BEFORE)))
-        .filter(F.col("edge").isNull())
-        .drop("edge")
+        .agg(
+            nearest(
+                F.struct(*columns), position if where is None else F.when(where, position)
+            ).alias("row")
+        )
+        .withColumn("row", F.last("row", ignorenulls=True).over(slices.rowsBetween(*BEFORE)))
+        .filter(F.col("row").isNotNull())
+        .select("user_id", "slice", "row.*", F.lit(True).alias("copied"))
     )
+    return log.withColumn("copied", F.lit(False)).unionByName(copies)

@@ -170,7 +170,10 @@ def test_entries_agree_with_attribution_and_recovery(spark):
     entries = behaviour.detail_entry(log, within).filter("entered")
     attributed = behaviour.detail_attribution(log, within).select("search_event_id")
     assert entries.count() == attributed.dropna().distinct().count() == 411
+    assert attributed.dropna().count() == 435
+    assert behaviour.re_search(log, within).filter("is_re_search").count() == 812
     recovery = behaviour.no_result_recovery(log, within).collect()
     outcomes = {r["outcome"]: r["searches"] for r in recovery}
     assert sum(outcomes.values()) == log.filter("result_count = 0").count()
+    assert outcomes == {"no_result": 186, "results": 198, "detail": 205, "abandoned": 1425}
     assert outcomes["detail"] == entries.filter(F.col("result_count") == 0).count()
