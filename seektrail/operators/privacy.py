@@ -54,9 +54,10 @@ def pii_scan(
     df: DataFrame, text_col: str, patterns: Mapping[str, Pattern] = PATTERNS
 ) -> DataFrame:
     """Rows with hits, and hits, per pattern over the whole texts, all in one pass."""
+    text = F.col(text_col)
     counts = df.select(
         *[
-            F.when(F.contains(F.col(text_col), F.lit(p.contains)), F.regexp_count(text_col, F.lit(p.regex)))
+            F.when(F.contains(text, F.lit(p.contains)), F.regexp_count(text, F.lit(p.regex)))
             .otherwise(0)
             .alias(f"hits_{i}")
             for i, p in enumerate(patterns.values())

@@ -107,7 +107,9 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def check_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows checked, and rows whose key is not theirs alone."""
     per_key = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(_sum(F.col("n")).alias("checked"), _sum_if("n", F.col("n") > 1).alias("failed"))
+    return per_key.agg(
+        _sum(F.col("n")).alias("checked"), _sum_if("n", F.col("n") > 1).alias("failed")
+    )
 
 
 def orphans(

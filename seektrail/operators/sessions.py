@@ -59,7 +59,11 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
 
 def search_sessions(log: DataFrame, gap: timedelta) -> DataFrame:
     """One row per session: its user, limits and counts of events by step."""
-    steps = {"searches": ("search", "no_result"), "no_results": ("no_result",), "details": ("detail",)}
+    steps = {
+        "searches": ("search", "no_result"),
+        "no_results": ("no_result",),
+        "details": ("detail",),
+    }
     parts = _parts(
         _steps(log),
         gap,

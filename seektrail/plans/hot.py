@@ -145,8 +145,9 @@ def spread_users(log: DataFrame) -> DataFrame:
     """Add column `slice` if the log has hot users; leave it as it is otherwise.
 
     Timelines of hot users are cut by range over (user, time, event) into slices of about equal
-    row count, whatever the spread of the events over time. Slices of a user rise with time. All
-    other users have slice 0. The cut is written to the shared folder because its limits come
+    row count, whatever the spread of the events over time; copies of one event are told apart by
+    the task that read them. Slices of a user rise with time. All other users have slice 0. The
+    cut is written to the shared folder because its limits come
     from a sample: all readers must see the same one.
 
     Operators call this themselves. Calling it before several operators cuts only once.
@@ -162,7 +163,9 @@ def spread_users(log: DataFrame) -> DataFrame:
     slices = max(2, 2 * sum(row["rows"] for row in hot) // hot_rows(spark))
     cut = stored(
         log.join(table, is_hot, "left_semi")
-        .repartitionByRange(slices, "user_id", "ts", "event_id")
+        .withColumn("task", F.spark_partition_id())
+        .repartitionByRange(slices, "user_id", "ts", "event_id", "task")
+        .drop("task")
         .withColumn("slice", F.spark_partition_id() + F.lit(1)),
         "slices",
     )

@@ -13,11 +13,13 @@ BEFORE = (Window.unboundedPreceding, -1)
 
 
 def timeline(log: DataFrame, ahead: bool = False) -> WindowSpec:
-    """The events of one user, or of one slice of a user, in (ts, event_id) order."""
-    order = [F.col("ts"), F.col("event_id")]
-    return Window.partitionBy(*timeline_keys(log)).orderBy(
-        *[c.desc() if ahead else c.asc() for c in order]
-    )
+    """The events of one user, or of one slice of a user, in (ts, event_id) order.
+
+    A row copied from another slice comes first, also among copies of the same event.
+    """
+    order = [F.desc(c) if ahead else F.asc(c) for c in ("ts", "event_id")]
+    copied = [F.desc("copied")] if "copied" in log.columns else []
+    return Window.partitionBy(*timeline_keys(log)).orderBy(*order, *copied)
 
 
 def neighbour(
@@ -34,7 +36,7 @@ def neighbour(
     """
     sliced = "slice" in log.columns
     rows = _with_row_before_slice(log, where, ahead) if sliced else log
-    spec = timeline(log, ahead)
+    spec = timeline(rows, ahead)
     if where is None:
         # Field by field, so that the shuffle does not carry a second copy of them.
         previous = F.struct(*[F.lag(f).over(spec).alias(f) for f in fields])
@@ -49,8 +51,7 @@ def neighbour(
 def _with_row_before_slice(log: DataFrame, where: Column | None, ahead: bool) -> DataFrame:
     """Each slice with a copy, marked `copied`, of the nearest row with `where` in earlier ones.
 
-    That row is found by a partial aggregation and a window over the slices of the user. It
-    sorts before all rows of the slice.
+    That row is found by a partial aggregation and a window over the slices of the user.
     """
     position = F.struct("ts", "event_id")
     nearest = F.min_by if ahead else F.max_by

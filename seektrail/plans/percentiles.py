@@ -34,8 +34,8 @@ def exact_percentiles(
     over_bins = Window.partitionBy(*by).orderBy("bin").rowsBetween(*running)
     ranks = F.array(
         *[
-            F.struct(F.lit(float(p)).alias("p"), end(F.lit(float(p)) * (F.col("rows") - 1)).alias("rank"))
-            for p in percentiles
+            F.struct(p.alias("p"), end(p * (F.col("rows") - 1)).alias("rank"))
+            for p in (F.lit(float(p)) for p in percentiles)
             for end in (F.floor, F.ceil)
         ]
     )

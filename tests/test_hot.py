@@ -81,6 +81,18 @@ def test_slices_are_even_and_in_time_order(spark):
     assert slices == sorted(slices) and len(set(slices)) > 5
 
 
+def test_copies_of_one_event_are_split(spark):
+    one = search(10**6, at(3), user=0, results=0, area="a")
+    log = skewed_log(spark, 9, burst=False).union(log_of(spark, *[one] * 450)).repartition(16)
+    log = log.cache()
+    whole = {name: multiset(operator(log)) for name, operator in OPERATORS.items()}
+    with setting(spark, "seektrail.hotRows", "50"):
+        cut = hot.spread_users(log)
+        copies = cut.filter("event_id = 1000000").groupBy("slice").count()
+        assert copies.agg(F.max("count")).first()[0] <= 100
+        assert {name: multiset(operator(cut)) for name, operator in OPERATORS.items()} == whole
+
+
 def test_ordinary_logs_are_not_cut(spark):
     log = skewed_log(spark, 7, burst=False)
     assert "slice" not in hot.spread_users(log).columns

@@ -12,7 +12,8 @@ SCHEMA = "k int, a string, b double"
 
 
 def test_latest_breaks_ties_by_content(spark):
-    df = spark.createDataFrame([(1, "x", 1.0), (1, "y", 1.0), (2, "z", 0.0), (2, "w", None)], SCHEMA)
+    rows = [(1, "x", 1.0), (1, "y", 1.0), (2, "z", 0.0), (2, "w", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
     chosen = {r["k"]: r["a"] for r in latest(df, ["k"], ["b"]).collect()}
     assert chosen[2] == "z"
     for n in (1, 3):
