@@ -48,6 +48,9 @@ def exact_percentiles(
             *[F.col(c).alias(f"wanted_{c}") for c in (*by, "bin")], "before", "rows", "ranks"
         )
     )
+    if not by:
+        # At most two rows per percentile.
+        wanted = F.broadcast(wanted)
     same_bin = null_safe([(c, f"wanted_{c}") for c in (*by, "bin")])
     over_values = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(*running)
     found = (
