@@ -194,6 +194,10 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduction.column_profile(orders.select(*columns))
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduction.dictionary(read_table(spark, sf_dir, "customer"), "c_name")
+
+
 def _subset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     names = ("region", "nation", "customer", "orders", "lineitem", "events")
     return reduction.referential_subset(
@@ -256,7 +260,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/snapshots_{uuid4().hex}"
-    versions = ("2026-09-02", "2026-09-03_v03")
+    versions = ("2025-05-01", "2025-05-02_v2")
     for version, orders in zip(versions, _order_versions(spark, sf_dir), strict=True):
         write_snapshot(orders, root, "orders", version)
     return read_snapshot(spark, root, "orders", SCHEMAS["orders"])
@@ -313,6 +317,7 @@ QUERIES = (
     referential_subset,
     referential_subset_orders,
     sample_drift,
+    dictionary,
     dictionary_encode,
     dictionary_decode,
     table_differences,

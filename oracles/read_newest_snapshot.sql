@@ -4,5 +4,5 @@ WITH old AS (
   SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus)
   FROM orders WHERE o_orderstatus <> 'F'
 )
-SELECT *, '2026-09-03_v03' AS snapshot
+SELECT *, '2025-05-02_v2' AS snapshot
 FROM new

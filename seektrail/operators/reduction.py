@@ -60,31 +60,38 @@ def referential_subset(
 ) -> dict[str, DataFrame]:
     """A hash-chosen share of the root rows, and exactly the child rows that belong to them.
 
-    Children follow their first listed reference to a reduced table. Tables not below the root
-    are kept whole. Where a reference is to the root's key, the bucket of the reference itself
-    thins out the child before the join.
+    Children follow their first listed reference to a table that is reduced. Tables not below
+    the root are kept whole. Where a reference is to the root's key, the bucket of the reference
+    itself thins out the child before the join.
     """
     limit = round(fraction * BUCKETS)
     reduced = {root: tables[root].filter(bucket(root_key) < limit)}
-    waiting = {fk.child for fk in fks if fk.child in tables and fk.child != root}
-    while True:
-        below = _below(reduced, [fk for fk in fks if fk.child in waiting and fk.parent in tables])
-        if not below:
-            break
-        for fk in below:
+    waiting = _first_references(tables, fks, root)
+    while waiting:
+        ready = [fk for fk in waiting if fk.parent in reduced]
+        if not ready:
+            raise ValueError(f"references in a circle: {waiting}")
+        for fk in ready:
             child = tables[fk.child]
             if fk.parent == root and fk.parent_cols == (root_key,):
                 child = child.filter(bucket(fk.child_cols[0]) < limit)
             parents = reduced[fk.parent].select(*fk.parent_cols).toDF(*fk.child_cols)
             reduced[fk.child] = join_parent(child, parents, fk.child_cols, "left_semi")
-            waiting.discard(fk.child)
+        waiting = [fk for fk in waiting if fk not in ready]
     return {name: reduced.get(name, df) for name, df in tables.items()}
 
 
-def _below(reduced: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> list[ForeignKey]:
-    first = {}
+def _first_references(
+    tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey], root: str
+) -> list[ForeignKey]:
+    """For each table below the root, its first reference to the root or a table below it."""
+    fks = [fk for fk in fks if {fk.child, fk.parent} <= set(tables) and fk.child != fk.parent]
+    below = {root}
+    while found := {fk.child for fk in fks if fk.parent in below} - below:
+        below |= found
+    first: dict[str, ForeignKey] = {}
     for fk in fks:
-        if fk.parent in reduced and fk.child != fk.parent:
+        if fk.parent in below and fk.child != root:
             first.setdefault(fk.child, fk)
     return list(first.values())
 

@@ -31,7 +31,7 @@ def read_snapshot(
     """One version of a table, the newest by name if none is given.
 
     `schema` is that of the table without `snapshot`. The column is read as text because Spark
-    would take a version such as 2026-09-03 for a date.
+    would take a version such as 2025-05-02 for a date.
     """
     if version is None:
         version = versions(spark, root, name)[-1]

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from seektrail.sources.model import SEARCH_LOG_SCHEMA
 
-START = datetime(2026, 9, 3)
+START = datetime(2025, 5, 2)
 MICROSECOND = timedelta(microseconds=1)
 
 

@@ -60,7 +60,7 @@ def test_child_with_two_parents_follows_the_first(spark):
     by_mid, by_root = (ForeignKey("leaf", (c,), p, (c,)) for c, p in (("m", "mid"), ("r", "root")))
     small = reduction.referential_subset(tables, [first, by_root, by_mid], "root", "r", 0.5)
     reduction.assert_same(small["leaf"].select("r"), small["root"].filter("r > 0"))
-    small = reduction.referential_subset(tables, [first, by_mid], "root", "r", 0.5)
+    small = reduction.referential_subset(tables, [by_mid, by_root, first], "root", "r", 0.5)
     reduction.assert_same(small["leaf"].select("m"), small["mid"].select("m"))
 
 
@@ -69,6 +69,11 @@ def test_orphans_are_not_kept_and_cycles_end(spark):
     fks = [ForeignKey("b", ("x",), "a", ("x",)), ForeignKey("a", ("x",), "b", ("x",))]
     small = reduction.referential_subset(tables, fks, "a", "x", 1.0)
     reduction.assert_same(small["b"], tables["a"])
+    tables["c"] = tables["b"]
+    fks = [ForeignKey(*p) for p in (("b", ("x",), "c", ("x",)), ("c", ("x",), "b", ("x",)))]
+    fks.append(ForeignKey("b", ("x",), "a", ("x",)))
+    with pytest.raises(ValueError, match="circle"):
+        reduction.referential_subset(tables, fks, "a", "x", 1.0)
 
 
 def test_drift(spark):

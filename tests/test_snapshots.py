@@ -61,17 +61,17 @@ def test_repeated_keys_fail(spark, repeated_side):
 def test_versions_side_by_side(spark, tmp_path):
     root = str(tmp_path)
     rows = [spark.createDataFrame([(n, "x", 1.0)], SCHEMA) for n in range(3)]
-    for df, version in zip(rows, ("2026-09-03", "2026-09-03_v03", "2026-08-31"), strict=True):
+    for df, version in zip(rows, ("2025-05-02", "2025-05-02_v2", "2025-04-30"), strict=True):
         write_snapshot(df, root, "t", version)
-    assert versions(spark, root, "t") == ["2026-08-31", "2026-09-03", "2026-09-03_v03"]
+    assert versions(spark, root, "t") == ["2025-04-30", "2025-05-02", "2025-05-02_v2"]
     newest = read_snapshot(spark, root, "t", SCHEMA)
-    assert [tuple(r) for r in newest.collect()] == [(1, "x", 1.0, "2026-09-03_v03")]
-    dated = read_snapshot(spark, root, "t", SCHEMA, "2026-09-03")
+    assert [tuple(r) for r in newest.collect()] == [(1, "x", 1.0, "2025-05-02_v2")]
+    dated = read_snapshot(spark, root, "t", SCHEMA, "2025-05-02")
     assert [r["k"] for r in dated.collect()] == [0]
     plan = dated._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot" in plan
-    write_snapshot(rows[2], root, "t", "2026-09-03")
-    assert [r["k"] for r in read_snapshot(spark, root, "t", SCHEMA, "2026-09-03").collect()] == [2]
+    write_snapshot(rows[2], root, "t", "2025-05-02")
+    assert [r["k"] for r in read_snapshot(spark, root, "t", SCHEMA, "2025-05-02").collect()] == [2]
     assert len(versions(spark, root, "t")) == 3
 
 
