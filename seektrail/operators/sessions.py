@@ -1,6 +1,8 @@
 """Sessions, step-to-step transitions and session paths.
 
-Events of a user exactly `gap` apart still belong to one session.
+Events of a user exactly `gap` apart still belong to one session. Sessions are found with running
+windows and not with `session_window`, which brings all events of a user to one task and cannot be
+cut into slices.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import random
 from contextlib import contextmanager
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from fixtures import at, detail, log_of, multiset, other, search
@@ -184,6 +185,25 @@ def test_large_dictionaries_are_joined_with_salts(spark, monkeypatch):
         reduction.assert_same(reduction.dictionary_decode(encoded, words), text)
 
 
+def session_stub(master, folder=None):
+    made = []
+    context = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append
+    )
+    conf = SimpleNamespace(get=lambda name, default: folder or default)
+    return SimpleNamespace(sparkContext=context, conf=conf), made
+
+
+def test_shared_folder_is_the_one_the_cluster_names():
+    session, made = session_stub("spark://cluster", "hdfs://shared")
+    assert hot.shared_dir(session) == "hdfs://shared" and not made
+    session, made = session_stub("spark://cluster")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        hot.shared_dir(session)
+    session, made = session_stub("local[2]")
+    assert [hot.shared_dir(session)] == made
+
+
 @pytest.mark.parametrize("partitions", ["1", "8"])
 def test_results_do_not_depend_on_partitioning(spark, partitions):
     from seektrail.functions.hashing import fingerprint
