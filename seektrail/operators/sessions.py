@@ -25,8 +25,8 @@ def _steps(log: DataFrame) -> DataFrame:
 def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
     """Aggregates per part of a session: all of it, or what lies in one slice of a hot user.
 
-    Rows carry `position`, their place in the part counted from 0. `session` numbers the
-    sessions of a user and `offset` counts the session's events in earlier parts.
+    Rows carry `position`, their place in the part counted from 0. With slices, `session` numbers
+    the sessions of a user and `offset` counts the session's events in earlier parts.
     """
     spec = timeline(steps)
     running = spec.rowsBetween(Window.unboundedPreceding, 0)
@@ -42,7 +42,7 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("events"), *aggregates)
     )
     if "slice" not in steps.columns:
-        return parts.withColumnRenamed("part", "session").withColumn("offset", F.lit(0))
+        return parts
     # Part 0 of a slice goes on with the last session of the slice before it. A user has no more
     # parts than sessions and slices, so these windows stay short.
     so_far = (
@@ -66,22 +66,21 @@ def search_sessions(log: DataFrame, gap: timedelta) -> DataFrame:
         "no_results": ("no_result",),
         "details": ("detail",),
     }
-    parts = _parts(
+    found = _parts(
         _steps(log),
         gap,
-        F.min("ts").alias("start"),
-        F.max("ts").alias("end"),
+        F.min("ts").alias("session_start"),
+        F.max("ts").alias("session_end"),
         *[F.count_if(F.col("step").isin(*v)).alias(k) for k, v in steps.items()],
     )
-    return (
-        parts.groupBy("user_id", "session")
-        .agg(
-            F.min("start").alias("session_start"),
-            F.max("end").alias("session_end"),
-            *[F.sum(c).alias(c) for c in ("events", *steps)],
+    counts = ("events", *steps)
+    if "slice" in found.columns:
+        found = found.groupBy("user_id", "session").agg(
+            F.min("session_start").alias("session_start"),
+            F.max("session_end").alias("session_end"),
+            *[F.sum(c).alias(c) for c in counts],
         )
-        .drop("session")
-    )
+    return found.select("user_id", "session_start", "session_end", *counts)
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -101,15 +100,14 @@ def session_paths(log: DataFrame, gap: timedelta, max_len: int) -> DataFrame:
     are ever brought together, however long it is.
     """
     head = F.when(F.col("position") < max_len, F.struct("position", "step"))
-    parts = _parts(_steps(log), gap, F.array_sort(F.collect_list(head)).alias("head"))
-    useful = F.when(F.col("offset") < max_len, F.struct("offset", "head"))
-    heads = F.array_sort(F.collect_list(useful))
-    steps = F.flatten(F.transform(heads, lambda p: p["head"]["step"]))
-    return (
-        parts.groupBy("user_id", "session")
-        .agg(F.slice(steps, 1, max_len).alias("steps"), F.sum("events").alias("events"))
-        .groupBy(
-            F.array_join("steps", ">").alias("path"), (F.col("events") > max_len).alias("longer")
+    found = _parts(_steps(log), gap, F.sort_array(F.collect_list(head))["step"].alias("head"))
+    if "slice" in found.columns:
+        useful = F.when(F.col("offset") < max_len, F.struct("offset", "head"))
+        heads = F.sort_array(F.collect_list(useful))["head"]
+        found = found.groupBy("user_id", "session").agg(
+            F.slice(F.flatten(heads), 1, max_len).alias("head"), F.sum("events").alias("events")
         )
-        .agg(F.count(F.lit(1)).alias("sessions"))
+    longer = F.col("events") > max_len
+    return found.groupBy(F.array_join("head", ">").alias("path"), longer.alias("longer")).agg(
+        F.count(F.lit(1)).alias("sessions")
     )
