@@ -19,9 +19,10 @@ _HALVINGS = 64
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text; 0 for null)."""
+    """doc_id, source, a hash of the text, and size (words of the whole text; 0 for null)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    source, code = F.col("source").cast("string"), F.xxhash64("text")
+    return docs.select("doc_id", source.alias("source"), code.alias("code"), size.alias("size"))
 
 
 def targets(
@@ -92,31 +93,16 @@ def sainte_lague(cells: DataFrame, group: Sequence[str], order: Sequence[Column]
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = 1.5,
-    most: int = 2,
-    block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS,
-    seed: int = SEED,
+def _placed(
+    sized: DataFrame,
+    weights: Sequence[float],
+    share: float,
+    most: int,
+    block_words: int,
+    shard_words: int,
+    seed: int,
 ) -> DataFrame:
-    """Per document: source, size, source_size, target of its source, and words `taken`.
-
-    `docs` has doc_id, text and source; other columns are ignored. A null text has no words; a null
-    source is a source, the last one. An empty table gives an empty result.
-
-    A source is dealt to shards of about `shard_words` by a seeded hash, so a large one is many
-    shards; a shard's documents, in seeded order, are one line of words, cut into blocks of
-    about `block_words` (equal to within one word). Sainte-Laguë gives the blocks of the whole
-    mix to the sources by their targets, then each source's quota to its shards. A shard
-    takes its whole line as often as its quota allows, and the blocks that remain from a seeded
-    block on, around the line's end. So no document is taken more than `most` times, each source's
-    words are its target but for half a block per shard, and reruns agree. Rows that share a
-    doc_id count one by one; equal rows may take different parts. Runs jobs while called. Only
-    built-in functions are used.
-    """
-    sized = stored(sizes(docs), "sizes")
+    """The rows of `sizes` with target, whole `copies`, and up to two ranges of words (a, b)."""
     sources = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
     )
@@ -156,16 +142,98 @@ def mix_sources(
     def at(block: Column) -> Column:  # where a block begins on the line
         return F.floor(block * F.col("line") / count)
 
-    def overlap(a: Column, b: Column) -> Column:
-        low, high = F.greatest("start", a), F.least(F.col("start") + F.col("size"), b)
-        return F.greatest(high - low, F.lit(0))
+    def part(a: Column, b: Column) -> Column:  # which words of a document lie between
+        low = F.least(F.greatest(a - F.col("start"), F.lit(0)), F.col("size"))
+        high = F.least(F.greatest(b - F.col("start"), F.lit(0)), F.col("size"))
+        return F.struct(low.cast("bigint").alias("a"), F.greatest(low, high).cast("bigint").alias("b"))
 
     stop = F.col("from_block") + rest
-    taken = (
-        F.floor(F.col("seats") / count) * F.col("size")
-        + overlap(at(F.col("from_block")), at(F.least(stop, count)))
-        + overlap(F.lit(0), at(F.greatest(stop - count, F.lit(0))))
+    parts = F.array(
+        part(at(F.col("from_block")), at(F.least(stop, count))),
+        part(F.lit(0), at(F.greatest(stop - count, F.lit(0)))),
+    )
+    copies = F.floor(F.col("seats") / count).cast("int")
+    return placed.select(*sized.columns, "source_size", "target", copies.alias("copies"), parts.alias("parts"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.5,
+    most: int = 2,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Per document: source, size, source_size, target of its source, and words `taken`.
+
+    `docs` has doc_id, text and source; other columns are ignored. A null text has no words; a null
+    source is a source, the last one. An empty table gives an empty result.
+
+    A source is dealt to shards of about `shard_words` by a seeded hash, so a large one is many
+    shards; a shard's documents, in seeded order, are one line of words, cut into blocks of
+    about `block_words` (equal to within one word). Sainte-Laguë gives the blocks of the whole
+    mix to the sources by their targets, then each source's quota to its shards. A shard
+    takes its whole line as often as its quota allows, and the blocks that remain from a seeded
+    block on, around the line's end. So no document is taken more than `most` times, each source's
+    words are its target but for half a block per shard, and reruns agree. Rows that share a
+    doc_id count one by one; equal rows may take different parts. Runs jobs while called. Only
+    built-in functions are used.
+    """
+    placed = _placed(
+        stored(sizes(docs), "sizes"), weights, share, most, block_words, shard_words, seed
+    )
+    partly = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["b"] - p["a"])
+    taken = F.col("copies") * F.col("size") + partly
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def take(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.5,
+    most: int = 2,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself: the columns of `docs`, a row for every time that a document is taken.
+
+    See `mix_sources`. A document that is taken in part has a row with just those words, and the
+    white space before each; n_chars, if there is such a column, is brought up to date. Documents
+    without words are in no block and are left out. Rows that repeat doc_id, source and text
+    are one document.
+    """
+    names, keys = docs.columns, ["doc_id", "source", "code"]
+    sized = stored(sizes(docs), "sizes")
+    docs = docs.withColumns({"__code": F.xxhash64("text"), "__source": F.col("source").cast("string")})
+    if not sized.groupBy(*keys).count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "__source", "__code"])
+        sized = sized.dropDuplicates(keys)
+    placed = _placed(sized, weights, share, most, block_words, shard_words, seed)
+    whole = F.struct(F.lit(0).cast("bigint").alias("a"), F.col("size").alias("b"))
+    taken = F.concat(
+        F.array_repeat(whole, F.col("copies")), F.filter("parts", lambda p: p["a"] < p["b"])
+    )
+    placed = placed.filter("size > 0").select(
+        F.col("doc_id").alias("__id"),
+        F.col("source").alias("__from"),
+        F.col("code").alias("__hash"),
+        F.col("size").alias("__size"),
+        taken.alias("__taken"),
     )
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken")
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("__id"))
+        & F.col("__source").eqNullSafe(F.col("__from"))
+        & (F.col("__code") == F.col("__hash"))
     )
+    rows = docs.join(placed, same).withColumn("__part", F.explode("__taken"))
+    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"))
+    length = (F.col("__part.b") - F.col("__part.a")).cast("int")
+    cut = F.array_join(F.slice(words, F.col("__part.a").cast("int") + 1, length), "")
+    partly = F.col("__part.b") - F.col("__part.a") < F.col("__size")
+    rows = rows.withColumn("text", F.when(partly, cut).otherwise(F.col("text")))
+    if "n_chars" in names:
+        chars = F.when(partly, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)

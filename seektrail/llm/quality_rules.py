@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seektrail.llm.common import in_pieces, null_safe_join
 from seektrail.plans.hot import stored
@@ -65,33 +66,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in in_pieces(batches, "text"):
         values = [_statistics(text or "") for text in piece["text"].to_pylist()]
         columns = np.array(values, np.int64).reshape(-1, len(COUNTS)).T
-        kept = {c: piece[c] for c in piece.schema.names if c != "text"}
-        yield pa.record_batch(kept | dict(zip(COUNTS, map(pa.array, columns), strict=True)))
+        kept = {c: piece[c] for c in piece.schema.names}
+        counts = pa.StructArray.from_arrays([pa.array(c) for c in columns], list(COUNTS))
+        yield pa.record_batch(kept | {"__q": counts})
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns and the five counts of every whole text (a null text has none of anything)."""
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(
-        _count, f"{kept}, {counts}"
-    )
+def statistics(docs: DataFrame) -> DataFrame:
+    """All columns, and `__q` with the five counts of the whole text (null: none of anything)."""
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__q", counts)])
+    return docs.mapInArrow(_count, schema)
 
 
 def base_failed() -> Column:
-    few = F.col("n_words") < 50
-    return few | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    few = F.col("__q.n_words") < 50
+    return few | (100 * F.col("__q.n_repeat_words") > 50 * F.col("__q.n_words"))
 
 
 def transformed() -> list[Column]:
     """The statistics on scales on which clean documents are roughly normal."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    words = F.greatest(F.col("__q.n_words"), F.lit(1))
     return [
-        F.log1p("n_words"),
-        F.log(F.greatest(F.col("word_chars") / words, F.lit(0.05))),
-        F.log1p(100 * F.col("n_symbols") / words),
-        F.log1p(100 * F.col("n_dup_lines") / words),
-        F.log1p(100 * F.col("n_repeat_words") / words) / 4,
+        F.log1p("__q.n_words"),
+        F.log(F.greatest(F.col("__q.word_chars") / words, F.lit(0.05))),
+        F.log1p(100 * F.col("__q.n_symbols") / words),
+        F.log1p(100 * F.col("__q.n_dup_lines") / words),
+        F.log1p(100 * F.col("__q.n_repeat_words") / words) / 4,
     ]
 
 
@@ -215,8 +215,8 @@ def robust_estimates(stats: DataFrame, least: int = LEAST) -> DataFrame:
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
     """Per document: five counts, base_failed, distance and kept.
 
-    `docs` has doc_id (long), text, lang and source; other columns are ignored, also such as have
-    names of result columns. Null texts and texts without words fail the base rule. Null lang and
+    `docs` has doc_id (long), and text, lang and source (strings); other columns are ignored, also such
+    as have names of result columns. Null texts and texts without words fail the base rule. Null lang and
     source are values of their own. A document is kept if it passes the base rule (50 words or
     more, at most half of them in repeated 3-word windows) and its squared Mahalanobis distance from
     the robust estimate of its language and source is at most `cutoff`. Groups with under
@@ -224,29 +224,43 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -
     the base rule holds and distance is null. Equal rows have equal results. An empty table gives
     an empty result. Texts are counted whole, whatever their length. Runs jobs while called.
     """
-    docs = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    stats = stored(statistics(docs, ["doc_id", "lang", "source"]), "statistics")
+    judged = _judged(docs.select("doc_id", "text", "lang", "source"), False, least)
+    return judged.select(
+        "doc_id",
+        "__q.*",
+        base_failed().alias("base_failed"),
+        F.col("__distance").alias("distance"),
+        _passes(cutoff).alias("kept"),
+    )
+
+
+def drop_outliers(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
+    """The rows of `docs` that `quality_rules` keeps, with all their columns."""
+    return _judged(docs, True, least).filter(_passes(cutoff)).select(*docs.columns)
+
+
+def _passes(cutoff: float) -> Column:
+    return ~base_failed() & F.coalesce(F.col("__distance") <= cutoff, F.lit(True))
+
+
+def _judged(docs: DataFrame, texts: bool, least: int) -> DataFrame:
+    """All columns (text only if `texts`), the counts `__q`, and `__distance`."""
+    counted = statistics(docs)
+    stats = stored(counted if texts else counted.drop("text"), "statistics")
     found = stored(robust_estimates(stats, least), "estimates")
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
-        own = found.filter(F.col("level") == level).select(*keys, F.struct("mean", "white").alias(f"e{level}"))
+        own = found.filter(F.col("level") == level).select(*keys, F.struct("mean", "white").alias(f"__e{level}"))
         if keys:
             stats = null_safe_join(stats, own, keys, "left")
         else:  # one row or none
             stats = stats.join(F.broadcast(own), F.lit(True), "left")
-    stats = stats.withColumn("e", F.coalesce("e0", "e1", "e2"))
+    stats = stats.withColumn("__e", F.coalesce("__e0", "__e1", "__e2"))
     x = transformed()
-    centred = [x[k] - F.col("e.mean")[k] for k in range(_P)]
-    squares = []
+    centred = [x[k] - F.col("__e.mean")[k] for k in range(_P)]
+    distance = F.lit(0.0)
     for i in range(_P):
         turned = F.lit(0.0)
         for j in range(i + 1):
-            turned = turned + F.col("e.white")[i * _P + j] * centred[j]
-        squares.append(turned * turned)
-    distance = squares[0] + squares[1] + squares[2] + squares[3] + squares[4]
-    return stats.select(
-        "doc_id",
-        *COUNTS,
-        base_failed().alias("base_failed"),
-        distance.alias("distance"),
-        (~base_failed() & F.coalesce(distance <= cutoff, F.lit(True))).alias("kept"),
-    )
+            turned = turned + F.col("__e.white")[i * _P + j] * centred[j]
+        distance = distance + turned * turned
+    return stats.withColumn("__distance", distance)
