@@ -287,6 +287,20 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_fingerprint(lines, columns)
 
 
+def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the subpackage `llm` and its pipeline, if they are there."""
+    try:
+        import corpus_pipeline
+        from seektrail.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    found = {query.__name__: query for query in llm.QUERIES} | {"pipeline": corpus_pipeline.run}
+    sql = dict(llm.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 QUERIES = (
     no_result_rate,
     re_search,
@@ -335,10 +349,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: query for query in QUERIES} | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query, from `oracles/<name>.sql`."""
     folder = Path(__file__).parent / "oracles"
-    return {name: (folder / f"{name}.sql").read_text() for name in queries()}
+    own = {q.__name__: (folder / f"{q.__name__}.sql").read_text() for q in QUERIES}
+    return own | _llm()[1]

@@ -24,7 +24,7 @@ TYPES = {
 }
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", [q.__name__ for q in registry.QUERIES])
 def test_query_equals_sql(spark, connection, name):
     df, sql = registry.queries()[name](spark, SF_DIR), registry.oracle_sql()[name]
     relation = connection.sql(sql)
