@@ -85,3 +85,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def packed(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Sizes in bytes and compressed bytes of texts (null as empty), for a shuffle."""
+    codec = pa.Codec("zstd", 1)
+    raw = [(x or "").encode() for x in texts.to_pylist()]
+    values = pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())
+    return pa.array([len(x) for x in raw], pa.int64()), values
+
+
+def unpack(size: int, value: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(value, size, asbytes=True)
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with `text` from columns `size` and `packed`."""
+    pairs = zip(batch["size"].to_pylist(), batch["packed"].to_pylist(), strict=True)
+    texts = pa.array([unpack(n, x).decode() for n, x in pairs], pa.string())
+    columns = {c: batch[c] for c in batch.schema.names if c not in ("size", "packed")}
+    return pa.record_batch(columns | {"text": texts})

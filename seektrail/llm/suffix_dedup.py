@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seektrail.llm.common import in_groups, in_pieces, mix, partitions, utf8
+from seektrail.llm.common import in_groups, in_pieces, mix, packed, partitions, unpack, utf8
 from seektrail.llm.suffix_array import permuted_prefixes, suffix_array
 from seektrail.plans.hot import stored
 
@@ -119,28 +119,16 @@ _SEGMENT = "gram bigint, content bigint, id bigint, v bigint, start bigint, wind
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for a shuffle."""
-    codec = pa.Codec("zstd", 1)
     for batch in batches:
-        texts = [(x or "").encode() for x in batch["text"].to_pylist()]
-        yield pa.record_batch(
-            {
-                "id": batch["id"],
-                "v": batch["v"],
-                "size": pa.array([len(x) for x in texts], pa.int64()),
-                "packed": pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary()),
-            }
-        )
-
-
-def _unpack(size: int, packed: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(packed, size, asbytes=True)
+        sizes, values = packed(batch["text"])
+        yield pa.record_batch({"id": batch["id"], "v": batch["v"], "size": sizes, "packed": values})
 
 
 def _cut_out(length: int):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                text = _unpack(row["size"], row["packed"])
+                text = unpack(row["size"], row["packed"])
                 found = row["found"]
                 yield pa.record_batch(
                     {
@@ -287,10 +275,10 @@ def repeated_passages(
     lists = chosen.groupBy("id", "v").agg(
         F.collect_list(F.struct("gram", "start", "windows", "parts", "part")).alias("found")
     )
-    packed = docs.mapInArrow(_packed, "id bigint, v bigint, size bigint, packed binary")
-    passages = (
-        packed.dropDuplicates(["id", "v"]) if docs.schema["v"].nullable else packed
-    ).join(lists, ["id", "v"])
+    whole = docs.mapInArrow(_packed, "id bigint, v bigint, size bigint, packed binary")
+    # Only rows that share an id can be equal; their passages are looked at once.
+    once = whole.dropDuplicates(["id", "v"]) if docs.schema["v"].nullable else whole
+    passages = once.join(lists, ["id", "v"])
     shard = F.pmod(F.xxhash64("gram", "part"), F.lit(shards))
     repeats = stored(
         passages.mapInArrow(
@@ -314,7 +302,7 @@ def repeated_passages(
     columns = ["id", "v", "a", "b"]
     spans = later.union(repeats.filter("not open").select(*columns)).union(across.select(*columns))
     found = spans.groupBy("id", "v").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    return packed.join(found, ["id", "v"], "left")
+    return whole.join(found, ["id", "v"], "left")
 
 
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:
@@ -346,7 +334,7 @@ def _whole_characters(text: bytes, span: tuple[int, int]) -> tuple[int, int]:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pylist()
-        texts = [_unpack(r["size"], r["packed"]) for r in rows]
+        texts = [unpack(r["size"], r["packed"]) for r in rows]
         spans = [merged(r["found"]) for r in rows]
         left = [_without(t, s) for t, s in zip(texts, spans, strict=True)]
         ids = [None if r["id"] == -(2**63) else r["id"] for r in rows]
@@ -366,7 +354,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vs, texts = [], [], []
         for r in batch.to_pylist():
             if r["found"]:
-                text = _unpack(r["size"], r["packed"])
+                text = unpack(r["size"], r["packed"])
                 spans = [_whole_characters(text, s) for s in merged(r["found"])]
                 ids.append(r["id"])
                 vs.append(r["v"])
