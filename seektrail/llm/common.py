@@ -87,6 +87,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, before rows become Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def packed(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Sizes in bytes and compressed bytes of texts (null as empty), for a shuffle."""
     codec = pa.Codec("zstd", 1)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seektrail.llm.common import in_groups, in_pieces, mix, packed, partitions, unpack, utf8
+from seektrail.llm.common import in_groups, in_pieces, mix, packed, partitions, slices, unpack, utf8
 from seektrail.llm.suffix_array import permuted_prefixes, suffix_array
 from seektrail.plans.hot import stored
 
@@ -19,9 +19,9 @@ LENGTH = 100
 # Length of the byte grams that decide which shard a passage goes to.
 GRAM = 20
 # Bytes of passages in a shard. Passages around one gram that hold more are dealt to several.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 # Bytes that a task looks at together; places within them take 24 bits.
-_REACH = 8 << 20
+_REACH = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -87,7 +87,7 @@ def _split(length: int, gram: int):
     """Segments of whole texts. A text longer than the reach is taken in overlapping stretches."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in in_pieces(batches, "text"):
+        for piece in in_pieces(batches, "text", _REACH // 2):
             data, limits = utf8(piece["text"])
             if len(data) <= _REACH:
                 stretches = [(0, data, limits)]
@@ -119,31 +119,29 @@ _SEGMENT = "gram bigint, content bigint, id bigint, v bigint, start bigint, wind
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for a shuffle."""
-    for batch in batches:
+    for batch in slices(batches):
         sizes, values = packed(batch["text"])
         yield pa.record_batch({"id": batch["id"], "v": batch["v"], "size": sizes, "packed": values})
 
 
 def _cut_out(length: int):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                text = unpack(row["size"], row["packed"])
-                found = row["found"]
-                yield pa.record_batch(
-                    {
-                        "gram": pa.array([x["gram"] for x in found], pa.int64()),
-                        "part": pa.array([x["part"] for x in found], pa.int32()),
-                        "parts": pa.array([x["parts"] for x in found], pa.int32()),
-                        "id": pa.array([row["id"]] * len(found), pa.int64()),
-                        "v": pa.array([row["v"]] * len(found), pa.int64()),
-                        "start": pa.array([x["start"] for x in found], pa.int64()),
-                        "bytes": pa.array(
-                            [text[x["start"] :][: x["windows"] + length - 1] for x in found],
-                            pa.binary(),
-                        ),
-                    }
-                )
+        for batch in slices(batches, 64):
+            rows = batch.to_pylist()
+            texts = [unpack(row["size"], row["packed"]) for row in rows]
+            found = [(row, text, x) for row, text in zip(rows, texts, strict=True) for x in row["found"]]
+            cut = [text[x["start"] : x["start"] + x["windows"] + length - 1] for _, text, x in found]
+            yield pa.record_batch(
+                {
+                    "gram": pa.array([x["gram"] for *_, x in found], pa.int64()),
+                    "part": pa.array([x["part"] for *_, x in found], pa.int32()),
+                    "parts": pa.array([x["parts"] for *_, x in found], pa.int32()),
+                    "id": pa.array([row["id"] for row, *_ in found], pa.int64()),
+                    "v": pa.array([row["v"] for row, *_ in found], pa.int64()),
+                    "start": pa.array([x["start"] for *_, x in found], pa.int64()),
+                    "bytes": pa.array(cut, pa.binary()),
+                }
+            )
 
     return cut_out
 
@@ -332,7 +330,7 @@ def _whole_characters(text: bytes, span: tuple[int, int]) -> tuple[int, int]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 64):
         rows = batch.to_pylist()
         texts = [unpack(r["size"], r["packed"]) for r in rows]
         spans = [merged(r["found"]) for r in rows]
@@ -350,7 +348,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 64):
         ids, vs, texts = [], [], []
         for r in batch.to_pylist():
             if r["found"]:
