@@ -22,7 +22,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, heads: np.ndarray, starts: np
     right neighbour) first, then smaller ones. Larger suffixes are induced through the buckets upwards,
     smaller ones downwards, a bucket's suffixes at a time.
     """
-    order = np.full(len(text), -1, np.int64)
+    order = np.full(len(text), -1, np.int32)
     letters = text[starts]
     first = np.searchsorted(letters, np.arange(len(heads)))
     ends = np.append(heads[1:], len(text))
@@ -123,21 +123,22 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     used = np.unique(data)
-    code = np.zeros(256, np.int64)
+    code = np.zeros(256, np.int16)
     code[used] = np.arange(1, len(used) + 1)
-    text = np.append(code[data], 0)
+    text = np.append(code[data], np.int16(0))
     rise = text[:-1] < text[1:]
     unequal = np.flatnonzero(text[:-1] != text[1:])
     decides = unequal[np.searchsorted(unequal, np.arange(n))]
     smaller = np.append(rise[decides], True)
-    starts = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    del decides, unequal
+    starts = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     counts = np.bincount(text)
     heads = np.cumsum(counts) - counts
     order = _induce(text, smaller, heads, starts[np.argsort(text[starts], kind="stable")])
     is_start = np.zeros(n + 1, bool)
     is_start[starts] = True
     ordered = order[is_start[order]]
-    length = np.zeros(n + 1, np.int64)
+    length = np.zeros(n + 1, np.int32)
     length[starts[:-1]] = np.diff(starts) + 1
     same = np.zeros(len(ordered), bool)
     pair = np.flatnonzero(
@@ -158,7 +159,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         same[pair[live[done]] + 1] = True
         live = live[fine & ~done]
         at += 8
-    name = np.empty(n + 1, np.int64)
+    name = np.empty(n + 1, np.int32)
     name[ordered] = np.cumsum(~same)
     names = name[starts]
     by = _ranked(names) if same.any() else np.argsort(names)
@@ -174,9 +175,9 @@ def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     reducible = (place > 0) & (before > 0)
     reducible[reducible] &= data[place[reducible] - 1] == data[before[reducible] - 1]
     own = np.flatnonzero(~reducible)

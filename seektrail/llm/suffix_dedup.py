@@ -19,7 +19,7 @@ LENGTH = 100
 # Length of the byte grams that decide which shard a passage goes to.
 GRAM = 20
 # Bytes of passages in a shard. Passages around one gram that hold more are dealt to several.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 # Bytes that a task looks at together; places within them take 24 bits.
 _REACH = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -242,7 +242,9 @@ def repeated_passages(
     tasks = partitions(docs)
     cut = docs.mapInArrow(_split(length, gram), _SEGMENT)
     often = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    common = stored(cut.join(often.select("gram"), "gram"), "segments")
+    # Stored, so that both sides of the join are shuffled for it and Spark can split a hot gram.
+    often = stored(often.select("gram"), "often")
+    common = stored(cut.join(often, "gram"), "segments")
     place = F.struct("id", "v", "start")
     firsts = stored(
         common.groupBy("gram", "content", "windows").agg(
