@@ -12,7 +12,7 @@ from seektrail.plans.hot import stored
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 SEED = 11
 # Halvings of the interval that holds the divisor; more than a double can tell apart.
 _HALVINGS = 64
