@@ -15,17 +15,18 @@ PLAIN_TYPES = {
     "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp",
     "timestamp_ntz",
 }
-BUCKETS = 10_000
+# Keys are told apart by the first 60 bits of their md5.
+KEY_SPACE = 2**60
 
 
 def _hex_word(digest: Column, start: int) -> Column:
     return F.conv(F.substring(digest, start, 8), 16, 10)
 
 
-def bucket(column: str | Column) -> Column:
-    """A number in [0, BUCKETS) that is the same for equal keys in any table."""
+def key_hash(column: str | Column) -> Column:
+    """A number in [0, KEY_SPACE) that is the same for equal keys of one type in any table."""
     column = F.col(column) if isinstance(column, str) else column
-    return _hex_word(F.md5(column.cast("string")), 1).cast("bigint") % BUCKETS
+    return F.conv(F.substring(F.md5(column.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,7 +51,10 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def _escaped(column: str, kind: str) -> Column:
     """Text in which neither the null mark nor the separator can occur."""
-    text = F.col(column).cast("string")
+    if kind.startswith("map"):  # equal maps may list their entries in another order
+        text = F.array_sort(F.map_entries(column)).cast("string")
+    else:
+        text = F.col(column).cast("string")
     if kind in PLAIN_TYPES or kind.startswith("decimal"):
         return text
     backslash = F.replace(text, F.lit("\\"), F.lit("\\\\"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seektrail.functions.hashing import BUCKETS, bucket
-from seektrail.plans.hot import MAX_HOT_KEYS, join_parent, stored
+from seektrail.functions.hashing import KEY_SPACE, key_hash
+from seektrail.plans.hot import join_parent, stored
 from seektrail.sources.model import ForeignKey
 
 
@@ -56,44 +57,88 @@ def referential_subset(
     fks: Sequence[ForeignKey],
     root: str,
     root_key: str,
-    fraction: float,
+    fraction: float | None = None,
+    root_rows: int | None = None,
 ) -> dict[str, DataFrame]:
-    """A hash-chosen share of the root rows, and exactly the child rows that belong to them.
+    """A hash-chosen part of the root rows, and the child rows all of whose parents are kept.
 
-    Children follow their first listed reference to a table that is reduced. Tables not below
-    the root are kept whole. Where a reference is to the root's key, the bucket of the reference
-    itself thins out the child before the join.
+    The part is either a `fraction` of the keys (0 to 1) or the `root_rows` rows lowest by (hash,
+    key). A child row stays if every reference to a reduced table finds its parent. A null
+    reference is no reference, except for a child's first listed one: rows that
+    belong to nothing are left out. Tables not below the root are kept whole. Where a reference of the
+    root key's own type is to the root's key, its hash thins out the child before the join.
     """
-    limit = round(fraction * BUCKETS)
-    reduced = {root: tables[root].filter(bucket(root_key) < limit)}
-    waiting = _first_references(tables, fks, root)
+    if (fraction is None) == (root_rows is None):
+        raise ValueError("give either fraction or root_rows")
+    if fraction is not None and not 0 <= fraction <= 1:
+        raise ValueError(f"fraction is not between 0 and 1: {fraction}")
+    if root_rows is not None and root_rows < 0:
+        raise ValueError(f"root_rows is negative: {root_rows}")
+    limit = None if fraction is None else int(fraction * KEY_SPACE)
+    if limit is None:
+        chosen = tables[root].orderBy(key_hash(root_key), root_key).limit(root_rows)
+        chosen = stored(chosen, "root")
+    else:
+        chosen = tables[root].filter(key_hash(root_key) < limit)
+    reduced = {root: chosen}
+    waiting = _references_below(tables, fks, root)
     while waiting:
-        ready = [fk for fk in waiting if fk.parent in reduced]
+        ready = [c for c, own in waiting.items() if all(fk.parent in reduced for fk in own)]
         if not ready:
             raise ValueError(f"references in a circle: {waiting}")
-        for fk in ready:
-            child = tables[fk.child]
-            if fk.parent == root and fk.parent_cols == (root_key,):
-                child = child.filter(bucket(fk.child_cols[0]) < limit)
-            parents = reduced[fk.parent].select(*fk.parent_cols).toDF(*fk.child_cols)
-            reduced[fk.child] = join_parent(child, parents, fk.child_cols, "left_semi")
-        waiting = [fk for fk in waiting if fk not in ready]
+        for name in ready:
+            child = tables[name]
+            for number, fk in enumerate(waiting.pop(name)):
+                same_type = (
+                    child.schema[fk.child_cols[0]].dataType == tables[root].schema[root_key].dataType
+                )
+                if limit is not None and (fk.parent, fk.parent_cols) == (root, (root_key,)):
+                    below = key_hash(fk.child_cols[0]) < limit
+                    if same_type:
+                        child = child.filter(below | F.lit(number > 0) & F.col(fk.child_cols[0]).isNull())
+                parents = reduced[fk.parent].select(*fk.parent_cols).toDF(*fk.child_cols)
+                nothing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in fk.child_cols])
+                found = join_parent(child, parents, fk.child_cols, "left_semi").select(*child.columns)
+                if number and any(child.schema[c].nullable for c in fk.child_cols):
+                    found = found.unionByName(child.filter(nothing))
+                child = found
+            reduced[name] = child
     return {name: reduced.get(name, df) for name, df in tables.items()}
 
 
-def _first_references(
+def _references_below(
     tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey], root: str
-) -> list[ForeignKey]:
-    """For each table below the root, its first reference to the root or a table below it."""
+) -> dict[str, list[ForeignKey]]:
+    """For each table below the root, its references to the root or to tables below it."""
     fks = [fk for fk in fks if {fk.child, fk.parent} <= set(tables) and fk.child != fk.parent]
     below = {root}
     while found := {fk.child for fk in fks if fk.parent in below} - below:
         below |= found
-    first: dict[str, ForeignKey] = {}
+    own: dict[str, list[ForeignKey]] = {}
     for fk in fks:
         if fk.parent in below and fk.child != root:
-            first.setdefault(fk.child, fk)
-    return list(first.values())
+            own.setdefault(fk.child, []).append(fk)
+    return own
+
+
+def broken_references(tables: Mapping[str, DataFrame], fks: Sequence[ForeignKey]) -> DataFrame:
+    """Rows per foreign key (child, columns, parent) whose non-null reference finds no parent."""
+    found = []
+    for fk in fks:
+        if {fk.child, fk.parent} <= set(tables):
+            child = tables[fk.child].select(*fk.child_cols).dropna()
+            parents = tables[fk.parent].select(*fk.parent_cols).toDF(*fk.child_cols).distinct()
+            lost = child.groupBy(*fk.child_cols).agg(F.count(F.lit(1)).alias("n"))
+            lost = lost.join(parents, list(fk.child_cols), "left_anti")
+            names = [F.lit(fk.child), F.lit(",".join(fk.child_cols)), F.lit(fk.parent)]
+            rows = F.coalesce(F.sum("n"), F.lit(0)).alias("broken")
+            found.append(
+                lost.agg(rows).select(
+                    *[n.alias(a) for n, a in zip(names, ("child", "columns", "parent"), strict=True)],
+                    "broken",
+                )
+            )
+    return reduce(DataFrame.unionByName, found)
 
 
 def sample_drift(
@@ -158,22 +203,22 @@ def dictionary_encode(
 
 
 def dictionary_decode(encoded: DataFrame, dictionaries: Mapping[str, DataFrame]) -> DataFrame:
-    """Puts the values back in place of the ids."""
+    """Puts the values back in place of the ids. An id that is not in its dictionary is an error."""
     return _replaced(encoded, dictionaries, "id", "value")
 
 
 def _replaced(
     df: DataFrame, dictionaries: Mapping[str, DataFrame], old: str, new: str
 ) -> DataFrame:
-    """Dictionaries counted to be small are broadcast, others joined with hot values salted."""
+    """Spark decides by the stored dictionary's size whether to broadcast it."""
     replaced = df
     for column, words in dictionaries.items():
         lookup = words.select(F.col(old).alias(column), F.col(new).alias("new"))
-        if words.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS:
-            joined = replaced.join(F.broadcast(lookup), column, "left")
-        else:
-            joined = join_parent(replaced, lookup, [column], "left", counted=df)
-        replaced = joined.drop(column).withColumnRenamed("new", column)
+        joined = join_parent(replaced, lookup, [column], "left", counted=df)
+        unknown = F.raise_error(F.concat(F.lit(f"not in the dictionary of {column}: "), column))
+        missing = F.col("new").isNull() & F.col(column).isNotNull()
+        value = F.when(missing, unknown.cast(lookup.schema["new"].dataType)).otherwise(F.col("new"))
+        replaced = joined.withColumn("new", value).drop(column).withColumnRenamed("new", column)
     return replaced.select(*df.columns)
 
 

@@ -28,6 +28,7 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
     Rows carry `position`, their place in the part counted from 0. With slices, `session` numbers
     the sessions of a user and `offset` counts the session's events in earlier parts.
     """
+    steps = steps.filter("user_id is not null")
     spec = timeline(steps)
     running = spec.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.col("prev").isNull() | (F.col("ts") > F.col("prev.ts") + F.lit(gap))
@@ -60,14 +61,18 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
 
 
 def search_sessions(log: DataFrame, gap: timedelta) -> DataFrame:
-    """One row per session: its user, limits and counts of events by step."""
+    """One row per session: its user, limits and counts of events by step.
+
+    An event without a user is a session of its own.
+    """
     steps = {
         "searches": ("search", "no_result"),
         "no_results": ("no_result",),
         "details": ("detail",),
     }
+    every = _steps(log)
     found = _parts(
-        _steps(log),
+        every,
         gap,
         F.min("ts").alias("session_start"),
         F.max("ts").alias("session_end"),
@@ -80,7 +85,14 @@ def search_sessions(log: DataFrame, gap: timedelta) -> DataFrame:
             F.max("session_end").alias("session_end"),
             *[F.sum(c).alias(c) for c in counts],
         )
-    return found.select("user_id", "session_start", "session_end", *counts)
+    alone = every.filter("user_id is null").select(
+        "user_id",
+        F.col("ts").alias("session_start"),
+        F.col("ts").alias("session_end"),
+        F.lit(1).cast("bigint").alias("events"),
+        *[F.coalesce(F.col("step").isin(*v), F.lit(False)).cast("bigint").alias(k) for k, v in steps.items()],
+    )
+    return found.select("user_id", "session_start", "session_end", *counts).unionByName(alone)
 
 
 def transitions(log: DataFrame) -> DataFrame:
@@ -97,16 +109,21 @@ def session_paths(log: DataFrame, gap: timedelta, max_len: int) -> DataFrame:
     """How many sessions took each path, the path being the first `max_len` steps in order.
 
     `longer` tells whether the sessions went on after that. At most `max_len` steps of a session
-    are ever brought together, however long it is.
+    are ever brought together, however long it is. An event without a user is a session.
     """
+    every = _steps(log)
     head = F.when(F.col("position") < max_len, F.struct("position", "step"))
-    found = _parts(_steps(log), gap, F.sort_array(F.collect_list(head))["step"].alias("head"))
+    found = _parts(every, gap, F.sort_array(F.collect_list(head))["step"].alias("head"))
     if "slice" in found.columns:
         useful = F.when(F.col("offset") < max_len, F.struct("offset", "head"))
         heads = F.sort_array(F.collect_list(useful))["head"]
         found = found.groupBy("user_id", "session").agg(
             F.slice(F.flatten(heads), 1, max_len).alias("head"), F.sum("events").alias("events")
         )
+    alone = every.filter("user_id is null").select(
+        F.slice(F.array("step"), 1, max_len).alias("head"), F.lit(1).cast("bigint").alias("events")
+    )
+    found = found.select("head", "events").unionByName(alone)
     longer = F.col("events") > max_len
     return found.groupBy(F.array_join("head", ">").alias("path"), longer.alias("longer")).agg(
         F.count(F.lit(1)).alias("sessions")

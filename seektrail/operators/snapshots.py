@@ -27,11 +27,13 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame
 def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per key: `state` is added, removed, changed or same, `changed` names the columns.
 
-    Values are compared null-safe. A key that occurs twice on one side raises an error when the
+    Values are compared null-safe, maps whatever the order of their entries. A column that only one
+    version has counts as null in the other one. A key that occurs twice on one side raises an error when the
     result is computed. Both versions go through one aggregation by key, so even a repeated key
     never multiplies rows.
     """
     key = list(key)
+    old, new = _aligned(old, new), _aligned(new, old)
     values = [c for c in old.columns if c not in key]
     row = F.struct(*values) if values else F.struct(F.lit(True).alias("present"))
     sides = (
@@ -52,14 +54,24 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFra
         ).cast("array<string>")
     )
     state = (
-        F.when((F.col("n_old") > 1) | (F.col("n_new") > 1), repeated.cast("string"))
-        .when(F.col("n_old") == 0, "added")
+        F.when(F.col("n_old") == 0, "added")
         .when(F.col("n_new") == 0, "removed")
         .when(F.size("changed") > 0, "changed")
         .otherwise("same")
     )
+    # In a filter, which is evaluated also where nothing but the number of rows is asked for.
+    twice = (F.col("n_old") > 1) | (F.col("n_new") > 1)
+    sides = sides.filter(F.when(twice, repeated.cast("boolean")).otherwise(F.lit(True)))
     both = (F.col("n_old") > 0) & (F.col("n_new") > 0)
     nothing = F.array().cast("array<string>")
     return sides.withColumn("changed", F.when(both, differing).otherwise(nothing)).select(
         *key, state.alias("state"), "changed"
     )
+
+
+def _aligned(df: DataFrame, other: DataFrame) -> DataFrame:
+    """`df` with the columns that only `other` has, null, and maps as sorted entries."""
+    missing = [f for f in other.schema.fields if f.name not in df.columns]
+    df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+    maps = [c for c, kind in df.dtypes if kind.startswith("map")]
+    return df.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps})

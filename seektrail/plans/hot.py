@@ -155,7 +155,7 @@ def spread_users(log: DataFrame) -> DataFrame:
     if "slice" in log.columns:
         return log
     spark = log.sparkSession
-    hot = hot_keys(log, ["user_id"])
+    hot = [row for row in hot_keys(log, ["user_id"]) if row["user_id"] is not None]
     if not hot:
         return log
     table = hot_table(log, ["user_id"], hot)

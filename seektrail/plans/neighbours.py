@@ -31,9 +31,11 @@ def neighbour(
 ) -> DataFrame:
     """Add struct `name`: `fields` of the nearest earlier row (later if `ahead`) with `where`.
 
-    `log` comes from `spread_users`. Looking ahead is looking back in descending order: a frame
+    `log` comes from `spread_users`. Rows without a user have no neighbours and are not shuffled:
+    they are strangers to each other. Looking ahead is looking back in descending order: a frame
     that ends at the last row would be evaluated anew for each row.
     """
+    anonymous, log = log.filter("user_id is null"), log.filter("user_id is not null")
     sliced = "slice" in log.columns
     rows = _with_row_before_slice(log, where, ahead) if sliced else log
     spec = timeline(rows, ahead)
@@ -45,7 +47,10 @@ def neighbour(
         hit = F.when(where, F.struct(*fields))
         nearest = F.last(hit, ignorenulls=True).over(spec.rowsBetween(*BEFORE))
     linked = rows.withColumn(name, nearest)
-    return linked.filter(~F.col("copied")).drop("copied") if sliced else linked
+    if sliced:
+        linked = linked.filter(~F.col("copied")).drop("copied")
+    nothing = F.lit(None).cast(linked.schema[name].dataType)
+    return linked.unionByName(anonymous.withColumn(name, nothing))
 
 
 def _with_row_before_slice(log: DataFrame, where: Column | None, ahead: bool) -> DataFrame:

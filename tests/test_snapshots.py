@@ -1,7 +1,9 @@
 import pytest
 from fixtures import at, log_of, search
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from seektrail.functions.hashing import fingerprint
 from seektrail.operators.reduction import assert_same
 from seektrail.operators.snapshots import latest, snapshot_diff
 from seektrail.plans.stages import run_stages, stage_fingerprints
@@ -68,8 +70,7 @@ def test_versions_side_by_side(spark, tmp_path):
     assert [tuple(r) for r in newest.collect()] == [(1, "x", 1.0, "2025-05-02_v2")]
     dated = read_snapshot(spark, root, "t", SCHEMA, "2025-05-02")
     assert [r["k"] for r in dated.collect()] == [0]
-    plan = dated._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(snapshot" in plan
+    assert all("snapshot=2025-05-02/" in f for f in dated.inputFiles())
     write_snapshot(rows[2], root, "t", "2025-05-02")
     assert [r["k"] for r in read_snapshot(spark, root, "t", SCHEMA, "2025-05-02").collect()] == [2]
     assert len(versions(spark, root, "t")) == 3
@@ -109,3 +110,43 @@ def test_stages_run_in_order_resume_and_reproduce(spark, tmp_path):
     assert_same(spark.read.parquet(f"{tmp_path}/01_even"), inputs["numbers"].filter("id % 2 = 0"))
     again = run_stages(spark, stages(), inputs, f"{tmp_path}/again")
     assert_same(stage_fingerprints(done), stage_fingerprints(again))
+
+
+def test_empty_and_odd_versions(spark, tmp_path):
+    root, rows = str(tmp_path), spark.createDataFrame([(1, "x", 1.0)], SCHEMA)
+    for version in ("v9", "v10"):
+        write_snapshot(rows, root, "t", version)
+    assert versions(spark, root, "t") == ["v9", "v10"]
+    write_snapshot(rows.limit(0), root, "t", "v10")
+    assert read_snapshot(spark, root, "t", SCHEMA).count() == 0
+    assert read_snapshot(spark, root, "t", SCHEMA, "v9").count() == 1
+    for call in (
+        lambda: write_snapshot(rows, root, "t", "2025-01-01 10:00"),
+        lambda: read_snapshot(spark, root, "t", SCHEMA, "v11"),
+        lambda: read_snapshot(spark, root, "none", SCHEMA),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_diff_sees_new_columns_and_maps_and_is_checked_when_counted(spark):
+    old = spark.createDataFrame([(1, "x", 1.0)], SCHEMA)
+    new = old.withColumn("w", F.lit(5))
+    assert snapshot_diff(old, new, ["k"]).first()["changed"] == ["w"]
+    assert snapshot_diff(new, old, ["k"]).first()["changed"] == ["w"]
+    log = log_of(spark, search(1, at(0), area="a", price="b"))
+    turned = log.withColumn("cond", F.map_from_entries(F.reverse(F.map_entries("cond"))))
+    assert snapshot_diff(log, turned, ["event_id"]).first()["state"] == "same"
+    assert_same(fingerprint(log), fingerprint(turned))
+    with pytest.raises(PySparkException, match="repeated key"):
+        snapshot_diff(old.union(old), new, ["k"]).count()
+
+
+def test_a_rebuilt_stage_rebuilds_all_after_it(spark, tmp_path):
+    stages = [("even", lambda t: t["n"].filter("id % 2 = 0")), ("count", lambda t: t["even"].groupBy().count())]
+    run_stages(spark, stages, {"n": spark.range(10)}, str(tmp_path))
+    (tmp_path / "01_even" / "_SUCCESS").unlink()
+    again = run_stages(spark, stages, {"n": spark.range(10)}, str(tmp_path), resume=True)
+    assert again["count"].first()[0] == 5
+    changed = run_stages(spark, stages, {"n": spark.range(14)}, str(tmp_path), resume=True)
+    assert changed["count"].first()[0] == 7
