@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seektrail.llm.common import in_groups, in_pieces, mix, partitions, utf8
+from seektrail.llm.common import in_groups, in_pieces, mix, packed, partitions, slices, unpacked, utf8
 from seektrail.llm.components import components
 from seektrail.llm.shingles import SHINGLE, shared, shingle_sets
 from seektrail.plans.hot import stored
@@ -84,12 +84,23 @@ def _describe(size: int):
     return describe
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for a shuffle."""
+    for batch in slices(batches):
+        sizes, values = packed(batch["text"])
+        yield pa.record_batch({"id": batch["id"], "size": sizes, "packed": values})
+
+
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in in_pieces(batches, "text"):
-            hashes, limits = shingle_sets(*utf8(piece["text"]), size)
-            values = [hashes[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
-            yield pa.record_batch({"id": piece["id"], "hashes": pa.array(values, pa.binary())})
+        for batch in slices(batches):
+            for piece in in_pieces([unpacked(batch)], "text"):
+                hashes, limits = shingle_sets(*utf8(piece["text"]), size)
+                sets = [hashes[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+                columns = {c: piece[c] for c in ("id", "key", "parts", "n", "sketch")}
+                yield pa.record_batch(
+                    columns | {"n": pa.array(np.diff(limits)), "hashes": pa.array(sets, pa.binary())}
+                )
 
     return sets
 
@@ -159,22 +170,26 @@ def _links(percent: int, exact: bool):
     return links
 
 
-def _compare(members: DataFrame, blocks: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links among members of one `key`; `blocks` (key, parts) says how many parts a key has.
+def _compare(members: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links among the members (id, n, sketch, hashes if exact) of one `key`.
 
-    Every pair of parts meets in a task of its own, so a large group is not one task's work.
+    `parts` says how many parts a key has. Every pair of parts meets in a task of its own, so a
+    large group is not one task's work.
     """
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = (
-        members.join(blocks, "key")
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+        members.withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("part", "other"))
         .withColumn("j", F.greatest("part", "other"))
-        .withColumn("side", F.when(F.col("part") == F.col("other"), 0).otherwise(
-            F.when(F.col("part") < F.col("other"), 1).otherwise(2)))
+        .withColumn(
+            "side",
+            F.when(F.col("part") == F.col("other"), 0)
+            .when(F.col("part") < F.col("other"), 1)
+            .otherwise(2),
+        )
         .drop("part", "other", "parts")
-    )
+    )
     return (
         dealt.repartition(partitions(members), "key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
@@ -215,34 +230,35 @@ def near_duplicates(
         "described",
     )
     digest = ["n", "d1", "d2"]
-    named = described.filter("n > 0 and id is not null")
-    classes = named.groupBy(*digest).agg(F.min("id").alias("rep"))
     sketched = stored(
-        named.groupBy(*digest)
+        described.filter("n > 0 and id is not null")
+        .groupBy(*digest)
         .agg(F.min("id").alias("id"), F.min(F.struct("keys", "sketch")).alias("s"))
-        .select("id", "n", "s.keys", "s.sketch"),
+        .select("id", *digest, "s.keys", "s.sketch"),
         "sketched",
     )
+    classes = sketched.select(*digest, F.col("id").alias("rep"))
     keyed = sketched.select("id", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     parts = F.ceil(F.col("rows") / block_rows).cast("int")
-    members = keyed.join(counts.select("key"), "key").join(
-        sketched.select("id", "n", "sketch"), "id"
-    )
-    candidates = _compare(members, counts.select("key", parts.alias("parts")), percent, False)
-    groups = stored(components(candidates).withColumnRenamed("component", "key"), "groups")
-    whole = texts.join(groups.select("id"), "id", "left_semi")
-    sets = stored(
-        whole.mapInArrow(_sets(size), "id bigint, hashes binary")
-        .join(groups, "id")
-        .join(sketched.select("id", "n", "sketch"), "id")
-        .dropDuplicates(["id"]),
-        "sets",
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Stored, so that both sides of the join are shuffled for it and Spark can split a hot key.
+    counts = stored(counts.select("key", parts.alias("parts")), "counts")
+    members = keyed.join(counts, "key")
+    members = members.join(sketched.select("id", "n", "sketch"), "id")
+    groups = stored(
+        components(_compare(members, percent, False))
+        .withColumnRenamed("component", "key")
+        .join(sketched.select("id", "n", "sketch"), "id"),
+        "groups",
     )
-    volume = sets.groupBy("key").agg(F.sum(F.octet_length("hashes") + 200).alias("bytes"))
+    volume = groups.groupBy("key").agg(F.sum(8 * F.col("n") + 200).alias("bytes"))
     parts = F.ceil(F.col("bytes") / block_bytes).cast("int")
-    confirmed = _compare(sets, volume.select("key", parts.alias("parts")), percent, True)
-    found = components(confirmed).withColumnRenamed("id", "rep")
+    groups = groups.join(volume.select("key", parts.alias("parts")), "key")
+    whole = texts.filter("id is not null").mapInArrow(_packed, "id bigint, size bigint, packed binary")
+    sets = whole.join(groups, "id").mapInArrow(
+        _sets(size), "id bigint, key bigint, parts int, n bigint, sketch binary, hashes binary"
+    )
+    found = components(_compare(sets, percent, True)).withColumnRenamed("id", "rep")
     joined = described.select("id", *digest).join(classes, digest, "left").join(found, "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return joined.select(
