@@ -51,7 +51,7 @@ def _smallest(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments(data: np.ndarray, limits: np.ndarray, length: int, gram: int):
+def segments(data: np.ndarray, limits: np.ndarray, length: int, gram: int, seed: int = 0):
     """Runs of windows of `length` bytes whose first smallest gram is the same one.
 
     Returns arrays: text, start in the text, number of windows, hash of the gram, hash of all
@@ -60,7 +60,7 @@ def segments(data: np.ndarray, limits: np.ndarray, length: int, gram: int):
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
         return empty
-    grams = _rolling(data, gram)
+    grams = _rolling(data, gram, seed)
     keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     span = length - gram + 1
     chosen = (_smallest(keyed, span) & _PLACE).astype(np.int32)
@@ -124,28 +124,46 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": batch["id"], "v": batch["v"], "size": sizes, "packed": values})
 
 
-def _cut_out(length: int):
+def _cut_out(length: int, gram: int):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             rows = batch.to_pylist()
             texts = [unpack(row["size"], row["packed"]) for row in rows]
             found = [(row, text, x) for row, text in zip(rows, texts, strict=True) for x in row["found"]]
             cut = [text[x["start"] : x["start"] + x["windows"] + length - 1] for _, text, x in found]
-            yield pa.record_batch(
-                {
-                    "gram": pa.array([x["gram"] for *_, x in found], pa.int64()),
-                    "part": pa.array([x["part"] for *_, x in found], pa.int32()),
-                    "parts": pa.array([x["parts"] for *_, x in found], pa.int32()),
-                    "id": pa.array([row["id"] for row, *_ in found], pa.int64()),
-                    "v": pa.array([row["v"] for row, *_ in found], pa.int64()),
-                    "start": pa.array([x["start"] for *_, x in found], pa.int64()),
-                    "bytes": pa.array(cut, pa.binary()),
-                }
-            )
+            hot = np.array([x["parts"] > 1 for *_, x in found], bool)
+            grams = np.array([x["gram"] for *_, x in found], np.int64)
+            starts = np.array([x["start"] for *_, x in found], np.int64)
+            ids = np.array([row["id"] for row, *_ in found], np.int64)
+            vs = np.array([row["v"] for row, *_ in found], np.int64)
+            cold = np.flatnonzero(~hot)
+            yield _passages(grams[cold], ids[cold], vs[cold], starts[cold], [cut[k] for k in cold], 1)
+            some = np.flatnonzero(hot)
+            if len(some):
+                limits = np.cumsum([0, *(len(cut[k]) for k in some)])
+                data = np.frombuffer(b"".join(cut[k] for k in some), np.uint8)
+                owner, at, windows, second, _ = segments(data, limits, length, gram, 3)
+                own = some[owner]
+                both = mix(grams[own].view(np.uint64) * _TIMES[5] + second).view(np.int64)
+                runs = [cut[k][a : a + n + length - 1] for k, a, n in zip(own, at, windows, strict=True)]
+                yield _passages(both, ids[own], vs[own], starts[own] + at, runs, 0)
 
     return cut_out
 
 
+def _passages(grams, ids, vs, starts, passages: list[bytes], parts: int) -> pa.RecordBatch:
+    return pa.record_batch(
+        {
+            "gram": pa.array(grams),
+            "parts": pa.array(np.full(len(passages), parts, np.int32)),
+            "id": pa.array(ids),
+            "v": pa.array(vs),
+            "start": pa.array(starts),
+            "bytes": pa.array(passages, pa.binary()),
+        }
+    )
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and place after the last of every run of true flags."""
     edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -270,21 +288,39 @@ def repeated_passages(
         "gram",
         "windows",
         "parts",
-        F.pmod(F.xxhash64("content"), F.col("parts")).cast("int").alias("part"),
     )
     lists = chosen.groupBy("id", "v").agg(
-        F.collect_list(F.struct("gram", "start", "windows", "parts", "part")).alias("found")
+        F.collect_list(F.struct("gram", "start", "windows", "parts")).alias("found")
     )
     whole = docs.mapInArrow(_packed, "id bigint, v bigint, size bigint, packed binary")
     # Only rows that share an id can be equal; their passages are looked at once.
     once = whole.dropDuplicates(["id", "v"]) if docs.schema["v"].nullable else whole
     passages = once.join(lists, ["id", "v"])
+    cut = stored(
+        passages.mapInArrow(
+            _cut_out(length, gram),
+            "gram bigint, parts int, id bigint, v bigint, start bigint, bytes binary",
+        ),
+        "passages",
+    )
+    # What lies around a hot gram was dealt anew by a second gram, most of which occur once then.
+    hot = cut.filter("parts = 0").drop("parts")
+    again = stored(
+        hot.groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("bytes")).alias("size"))
+        .filter("rows > 1")
+        .select("gram", F.ceil(F.col("size") / shard_bytes).cast("int").alias("parts")),
+        "again",
+    )
+    part = F.pmod(F.xxhash64("bytes"), F.col("parts")).cast("int")
+    ready = (
+        cut.filter("parts = 1")
+        .withColumn("part", F.lit(0))
+        .unionByName(hot.join(again, "gram").withColumn("part", part))
+    )
     shard = F.pmod(F.xxhash64("gram", "part"), F.lit(shards))
     repeats = stored(
-        passages.mapInArrow(
-            _cut_out(length),
-            "gram bigint, part int, parts int, id bigint, v bigint, start bigint, bytes binary",
-        )
+        ready
         .withColumn("shard", shard)
         .repartition(max(tasks, min(shards, 20 * tasks)), "shard")
         .sortWithinPartitions("shard")
@@ -376,8 +412,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFr
     An empty table gives an empty result.
 
     Every window of `length` bytes belongs to its smallest gram; grams that occur once hold no
-    repeat. Windows around the same gram meet in one shard (or several that are merged by window,
-    if they hold more than `shard_bytes`), where a suffix array and its permuted common prefixes
+    repeat. Windows around the same gram meet in one shard. Where they hold more than `shard_bytes`,
+    they are told apart by a second gram, and if that is not enough dealt to several
+    shards whose first windows are merged. In a shard, a suffix array and its permuted common prefixes
     tell equal ones. Segments with equal bytes are counted as one before. Runs jobs while called.
     """
     columns = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
