@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seektrail.functions.conditions import step
 from seektrail.plans.hot import spread_users, timeline_keys
-from seektrail.plans.neighbours import neighbour, timeline
+from seektrail.plans.neighbours import link, neighbour, timeline
 
 
 def _steps(log: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _parts(steps: DataFrame, gap: timedelta, *aggregates: Column) -> DataFrame:
     running = spec.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.col("prev").isNull() | (F.col("ts") > F.col("prev.ts") + F.lit(gap))
     parts = (
-        neighbour(steps, "prev", ["ts"])
+        link(steps, "prev", ["ts"])
         .withColumn("starts", starts)
         .withColumn("part", F.count(F.when(F.col("starts"), 1)).over(running))
         .withColumn("row", F.row_number().over(spec))

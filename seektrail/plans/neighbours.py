@@ -35,7 +35,20 @@ def neighbour(
     they are strangers to each other. Looking ahead is looking back in descending order: a frame
     that ends at the last row would be evaluated anew for each row.
     """
-    anonymous, log = log.filter("user_id is null"), log.filter("user_id is not null")
+    anonymous, known = log.filter("user_id is null"), log.filter("user_id is not null")
+    linked = link(known, name, fields, where, ahead)
+    nothing = F.lit(None).cast(linked.schema[name].dataType)
+    return linked.unionByName(anonymous.withColumn(name, nothing))
+
+
+def link(
+    log: DataFrame,
+    name: str,
+    fields: Sequence[str],
+    where: Column | None = None,
+    ahead: bool = False,
+) -> DataFrame:
+    """`neighbour` for a log in which every row has a user."""
     sliced = "slice" in log.columns
     rows = _with_row_before_slice(log, where, ahead) if sliced else log
     spec = timeline(rows, ahead)
@@ -49,8 +62,7 @@ def neighbour(
     linked = rows.withColumn(name, nearest)
     if sliced:
         linked = linked.filter(~F.col("copied")).drop("copied")
-    nothing = F.lit(None).cast(linked.schema[name].dataType)
-    return linked.unionByName(anonymous.withColumn(name, nothing))
+    return linked
 
 
 def _with_row_before_slice(log: DataFrame, where: Column | None, ahead: bool) -> DataFrame:
