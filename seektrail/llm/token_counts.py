@@ -49,18 +49,18 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
         "bin",
         F.coalesce(F.sum("d").over(above), F.lit(0)).alias("docs_above"),
         F.coalesce(F.sum("t").over(above), F.lit(0)).alias("tokens_above"),
+        F.sum("t").over(Window.partitionBy()).alias("all_tokens"),
     )
-    total = table.agg(F.sum(tokens).alias("all_tokens"))
     here = Window.partitionBy("bin").orderBy(F.desc("length"))
     sums = table.join(bins, "bin").select(
         "length",
         "docs",
         (F.sum("docs").over(here) + F.col("docs_above")).alias("docs_at_least"),
         (F.sum(tokens).over(here) + F.col("tokens_above")).alias("tokens_at_least"),
+        "all_tokens",
     )
     beyond = F.col("tokens_at_least") - F.col("length") * F.col("docs_at_least")
-    # One row of totals: a product with it adds a column, not rows.
-    return sums.crossJoin(F.broadcast(total)).select(
+    return sums.select(
         "length",
         "docs",
         "docs_at_least",
