@@ -142,7 +142,8 @@ def _cut_out(length: int, gram: int):
             if len(some):
                 limits = np.cumsum([0, *(len(cut[k]) for k in some)])
                 data = np.frombuffer(b"".join(cut[k] for k in some), np.uint8)
-                owner, at, windows, second, _ = segments(data, limits, length, gram, 3)
+                longer = (length + gram) // 2
+                owner, at, windows, second, _ = segments(data, limits, length, longer, 3)
                 own = some[owner]
                 both = mix(grams[own].view(np.uint64) * _TIMES[5] + second).view(np.int64)
                 runs = [cut[k][a : a + n + length - 1] for k, a, n in zip(own, at, windows, strict=True)]
@@ -303,7 +304,7 @@ def repeated_passages(
         ),
         "passages",
     )
-    # What lies around a hot gram was dealt anew by a second gram, most of which occur once then.
+    # What lies around a hot gram was dealt anew by a longer gram, most of which occur once then.
     hot = cut.filter("parts = 0").drop("parts")
     again = stored(
         hot.groupBy("gram")
@@ -413,8 +414,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFr
 
     Every window of `length` bytes belongs to its smallest gram; grams that occur once hold no
     repeat. Windows around the same gram meet in one shard. Where they hold more than `shard_bytes`,
-    they are told apart by a second gram, and if that is not enough dealt to several
-    shards whose first windows are merged. In a shard, a suffix array and its permuted common prefixes
+    they are told apart by a second, longer gram, which more often reaches into what differs; if
+    that is not enough they are dealt to several shards whose first windows are merged. In a shard, a suffix array and its permuted common prefixes
     tell equal ones. Segments with equal bytes are counted as one before. Runs jobs while called.
     """
     columns = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
