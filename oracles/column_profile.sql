@@ -17,3 +17,13 @@ SELECT 'o_orderpriority' AS "column", count(*) AS "rows", count(o_orderpriority)
        CAST(sum(strlen(CAST(o_orderpriority AS VARCHAR))) AS BIGINT) AS bytes,
        CAST(max(strlen(CAST(o_orderpriority AS VARCHAR))) AS INT) AS max_length
 FROM orders
+UNION ALL
+SELECT 'o_totalprice' AS "column", count(*) AS "rows", count(o_totalprice) AS non_null, count(DISTINCT o_totalprice) AS "distinct",
+       CAST(sum(strlen(CAST(CAST(floor(o_totalprice * 10000 + 0.5) AS BIGINT) AS VARCHAR))) AS BIGINT) AS bytes,
+       CAST(max(strlen(CAST(CAST(floor(o_totalprice * 10000 + 0.5) AS BIGINT) AS VARCHAR))) AS INT) AS max_length
+FROM orders
+UNION ALL
+SELECT 'o_orderdate' AS "column", count(*) AS "rows", count(o_orderdate) AS non_null, count(DISTINCT o_orderdate) AS "distinct",
+       CAST(sum(strlen(CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS VARCHAR))) AS BIGINT) AS bytes,
+       CAST(max(strlen(CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS VARCHAR))) AS INT) AS max_length
+FROM orders

@@ -1,11 +1,13 @@
 WITH a AS (
-  SELECT l_partkey, l_suppkey, l_returnflag, count(*) AS copies FROM lineitem GROUP BY ALL
+  SELECT *, count(*) AS copies FROM lineitem GROUP BY ALL
 ), b AS (
-  SELECT l_partkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'A' ELSE l_returnflag END AS l_returnflag,
+  SELECT * REPLACE (CASE l_returnflag WHEN 'R' THEN 'A' ELSE l_returnflag END AS l_returnflag),
          count(*) AS copies
-  FROM lineitem GROUP BY 1, 2, 3
+  FROM lineitem GROUP BY ALL
 )
-SELECT l_partkey, l_suppkey, l_returnflag, coalesce(a.copies, 0) AS copies_a,
-       coalesce(b.copies, 0) AS copies_b
-FROM a FULL JOIN b USING (l_partkey, l_suppkey, l_returnflag)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+       l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate,
+       coalesce(a.copies, 0) AS copies_a, coalesce(b.copies, 0) AS copies_b
+FROM a FULL JOIN b USING (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+       l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
 WHERE coalesce(a.copies, 0) <> coalesce(b.copies, 0)

@@ -33,6 +33,11 @@ def hot_rows(spark: SparkSession) -> int:
 _found: dict[tuple, list[Row]] = {}
 
 
+def forget() -> None:
+    """Look for hot keys anew from now on."""
+    _found.clear()
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
     """The keys (null included) with over `seektrail.hotRows` rows, and their estimated `rows`.
 
