@@ -27,6 +27,7 @@ from seektrail.sources.tables import read_table, search_log
 WITHIN = timedelta(hours=6)
 SALT = "example salt"
 SUBSET = 0.2
+NATIONS = 0.3
 
 RULES = (
     quality.not_null("orders", "o_custkey"),
@@ -178,13 +179,15 @@ def quarantine_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = privacy.pseudonymize(
-        _tables(spark, sf_dir, "customer", "events"),
-        {"customer": ["c_custkey", "c_name"], "events": ["user_id"]},
+        _tables(spark, sf_dir, "customer", "events", "orders"),
+        {"customer": ["c_custkey", "c_name"], "events": ["user_id"], "orders": ["o_custkey"]},
         SALT,
     )
     per_user = hidden["events"].groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+    ordered = hidden["orders"].withColumnRenamed("o_custkey", "user_id")
+    ordered = ordered.groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"))
     customers = hidden["customer"].withColumnRenamed("c_custkey", "user_id")
-    return customers.join(per_user, "user_id", "left")
+    return customers.join(per_user, "user_id", "left").join(ordered, "user_id", "left")
 
 
 def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +222,15 @@ def referential_subset_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subset(spark, sf_dir)["orders"]
 
 
+def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that a subset of the nations leaves without a parent: none."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    small = reduction.referential_subset(
+        _tables(spark, sf_dir, *names), FOREIGN_KEYS, "nation", "n_nationkey", NATIONS
+    )
+    return reduction.broken_references(small, FOREIGN_KEYS)
+
+
 def sample_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {
         f"share_{t}": F.count_if(F.col("event_type") == t) / F.count(F.lit(1))
@@ -334,6 +346,7 @@ QUERIES = (
     column_profile,
     referential_subset,
     referential_subset_orders,
+    broken_references,
     sample_drift,
     dictionary,
     dictionary_encode,
