@@ -55,8 +55,11 @@ def segments(data: np.ndarray, limits: np.ndarray, length: int, gram: int, seed:
     """Runs of windows of `length` bytes whose first smallest gram is the same one.
 
     Returns arrays: text, start in the text, number of windows, hash of the gram, hash of all
-    bytes. Equal windows lie in runs with equal grams, at equal distance from the gram.
+    bytes. Equal windows lie in runs with equal grams, at equal distance from the gram. `data` has
+    at most 2^24 bytes, as places take 24 bits.
     """
+    if len(data) > int(_PLACE) + 1:
+        raise ValueError(f"{len(data)} bytes are more than places of 24 bits can tell apart")
     empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
         return empty
@@ -124,7 +127,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": batch["id"], "v": batch["v"], "size": sizes, "packed": values})
 
 
-def _cut_out(length: int, gram: int):
+def _cut_out(length: int, gram: int, reach: int = _REACH):
+    """Passages by their gram. Those of hot grams are cut anew, about `reach` bytes of them at a
+    time; a passage has under 2 * `length` bytes and is never divided, so runs stay the same."""
+
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             rows = batch.to_pylist()
@@ -139,12 +145,13 @@ def _cut_out(length: int, gram: int):
             cold = np.flatnonzero(~hot)
             yield _passages(grams[cold], ids[cold], vs[cold], starts[cold], [cut[k] for k in cold], 1)
             some = np.flatnonzero(hot)
-            if len(some):
-                limits = np.cumsum([0, *(len(cut[k]) for k in some)])
-                data = np.frombuffer(b"".join(cut[k] for k in some), np.uint8)
+            ends = np.cumsum([len(cut[k]) for k in some], dtype=np.int64)
+            for few in np.split(some, np.flatnonzero(np.diff(ends // reach)) + 1) if len(some) else ():
+                limits = np.cumsum([0, *(len(cut[k]) for k in few)])
+                data = np.frombuffer(b"".join(cut[k] for k in few), np.uint8)
                 longer = (length + gram) // 2
                 owner, at, windows, second, _ = segments(data, limits, length, longer, 3)
-                own = some[owner]
+                own = few[owner]
                 both = mix(grams[own].view(np.uint64) * _TIMES[5] + second).view(np.int64)
                 runs = [cut[k][a : a + n + length - 1] for k, a, n in zip(own, at, windows, strict=True)]
                 yield _passages(both, ids[own], vs[own], starts[own] + at, runs, 0)
@@ -251,7 +258,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    shard_bytes: int = SHARD_BYTES,
+    reach: int = _REACH,
 ) -> DataFrame:
     """Per document with any: `found`, the stretches (a, b) of bytes that also occur earlier.
 
@@ -299,7 +310,7 @@ def repeated_passages(
     passages = once.join(lists, ["id", "v"])
     cut = stored(
         passages.mapInArrow(
-            _cut_out(length, gram),
+            _cut_out(length, gram, reach),
             "gram bigint, parts int, id bigint, v bigint, start bigint, bytes binary",
         ),
         "passages",

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from seektrail.llm import (
     token_counts,
     url_filter,
 )
+from seektrail.llm.common import packed
 from seektrail.llm.components import components
 from seektrail.llm.near_duplicates import near_duplicates
 from seektrail.llm.suffix_array import permuted_prefixes, suffix_array
@@ -114,6 +116,49 @@ def test_repeated_passages_of_odd_rows(odd):
     assert suffix_dedup.remove_repeated(odd.limit(0)).count() == 0
 
 
+def templated(seed, lines):
+    random = np.random.default_rng(seed)
+    return "".join(f"2026-11-30 request to the search service, item {n} done\n" for n in random.integers(0, 1 << 40, lines))
+
+
+def test_hot_passages_beyond_places_of_24_bits():
+    half = templated(1, 60_000).encode()
+    text = np.frombuffer(half + half, np.uint8)
+    found = []
+    for a in range(0, len(text), 1 << 20):
+        part = text[a : a + (1 << 20) + 99]
+        _, start, windows, grams, _ = suffix_dedup.segments(part, np.array([0, len(part)]), 100, 20)
+        found += [
+            {"gram": g, "start": a + s, "windows": n, "parts": 2}
+            for g, s, n in zip(grams.view(np.int64).tolist(), start.tolist(), windows.tolist())
+        ]
+    assert sum(x["windows"] + 99 for x in found) > 1 << 24
+    size, value = packed(pa.array([text.tobytes().decode()]))
+    batch = pa.record_batch({
+        "id": pa.array([1]), "v": pa.array([0]), "size": size, "packed": value, "found": pa.array([found]),
+    })
+    hot = {0: {}, 1: {}}
+    for out in suffix_dedup._cut_out(100, 20)([batch]):
+        for row in out.to_pylist():
+            for k in range(len(row["bytes"]) - 99):
+                copy, place = divmod(row["start"] + k, len(half))
+                hot[copy][place] = row["gram"]
+    inner = range(0, len(half) - 99, 997)
+    assert [hot[0].get(k) for k in inner] == [hot[1].get(k) for k in inner]
+    assert None not in {hot[0].get(k) for k in inner}
+    with pytest.raises(ValueError):
+        suffix_dedup.segments(np.zeros((1 << 24) + 1, np.uint8), np.array([0, (1 << 24) + 1]), 100, 20)
+
+
+@pytest.mark.parametrize("reach", [500, 2 << 20])
+def test_repeated_passages_of_a_long_templated_document(spark, reach):
+    long = templated(2, 600)
+    rows = [(1, long + long[5_000:9_000]), (2, templated(3, 20) + long[20_000:20_900])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = suffix_dedup.suffix_dedup(df, shard_bytes=2_000, reach=reach).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_removed(rows, 100)
+
+
 def shingles(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if len(words) < 5:
