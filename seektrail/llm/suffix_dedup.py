@@ -240,12 +240,14 @@ def _repeats(length: int):
 _REPEAT = "id bigint, v bigint, a bigint, b bigint, w1 bigint, w2 bigint, open boolean"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id, v and text; v tells rows apart that share an id, and is 0 where none do."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """id, v and text, and whether any rows share an id or have none.
+
+    v tells rows apart that share an id, and is 0 where none do."""
     docs = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     shared = docs.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or id is null")
     if shared.isEmpty():
-        return docs.withColumn("v", F.lit(0).cast("bigint"))
+        return docs.withColumn("v", F.lit(0).cast("bigint")), False
     v = F.when(F.col("rows").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0))
     # Null ids come first in order, as the smallest number; they come out as null again.
     docs = docs.join(shared.filter("id is not null"), "id", "left")
@@ -254,7 +256,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.coalesce("id", F.lit(-(2**63))).alias("id"),
         "text",
         F.when(nulls, F.xxhash64("text")).otherwise(v).alias("v"),
-    )
+    ), True
 
 
 def repeated_passages(
@@ -268,7 +270,7 @@ def repeated_passages(
 
     See `remove_repeated`. Returns id, v (see `_keyed`) and the joined compressed text.
     """
-    docs = _keyed(docs)
+    docs, ids_shared = _keyed(docs)
     tasks = partitions(docs)
     cut = docs.mapInArrow(_split(length, gram), _SEGMENT)
     often = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
@@ -306,7 +308,7 @@ def repeated_passages(
     )
     whole = docs.mapInArrow(_packed, "id bigint, v bigint, size bigint, packed binary")
     # Only rows that share an id can be equal; their passages are looked at once.
-    once = whole.dropDuplicates(["id", "v"]) if docs.schema["v"].nullable else whole
+    once = whole.dropDuplicates(["id", "v"]) if ids_shared else whole
     passages = once.join(lists, ["id", "v"])
     cut = stored(
         passages.mapInArrow(

@@ -159,6 +159,23 @@ def test_repeated_passages_of_a_long_templated_document(spark, reach):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_removed(rows, 100)
 
 
+@pytest.mark.parametrize("first", [0, None])
+def test_passages_of_repeated_rows_stay_once(spark, first):
+    # The gram of the shared passage occurs with other content too, so it is looked at in a shard.
+    random = np.random.default_rng(6)
+    words = ["".join(random.choice(list("abcdefgh"), 7)) for _ in range(400)]
+    own, other, more = (" ".join(words[k : k + 60]) for k in (0, 100, 200))
+    texts = [own, other + own[30:230] + more, more[:200] + own[100:330] + other[:250]]
+    rows = [(first, texts[0]), (first, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = suffix_dedup.suffix_dedup(df).collect()
+    once = brute_removed([(k, t) for k, t in enumerate(texts)], 100)
+    assert len(found) == 5
+    assert all(tuple(r)[1:] == once[0 if r["doc_id"] is None else r["doc_id"]] for r in found)
+    cleaned = {r["text"] for r in suffix_dedup.remove_repeated(df).collect()}
+    assert own in cleaned and len(cleaned) == 3
+
+
 def shingles(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if len(words) < 5:
