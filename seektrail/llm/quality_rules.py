@@ -19,13 +19,15 @@ SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Steps, lowest level and number of levels of the grid on which the transformed statistics are
 # counted; what lies outside counts in the outermost level. A group has at most the product of the
-# levels as cells, 138,240, however many documents it has.
-STEPS = (0.5, 0.05, 0.25, 0.25, 0.25)
+# levels as cells, 311,040, however many documents it has.
+STEPS = (0.5, 0.05, 0.25, 0.02, 0.06)
 LOWEST = (2, 22, 0, 0, 0)
-LEVELS = (20, 24, 12, 6, 4)
+LEVELS = (20, 24, 12, 6, 9)
 # Smallest standard deviation of each statistic: documents are no outliers of a group for
-# differences this small, however alike the rest of the group is.
-FLOORS = (0.7, 0.08, 0.25, 0.5, 0.6)
+# differences this small, however alike the rest of the group is. Those of the two repetition
+# statistics are one line and one window of three words in a document of 50 words, the shortest
+# that passes the base rule: they cannot be told more finely there.
+FLOORS = (0.7, 0.08, 0.25, 1 / 50, 3 / 50)
 # Squared distance beyond which a document is rejected. A chi-square with five degrees of freedom
 # exceeds it with a chance of one in a million.
 CUTOFF = 35.9
@@ -90,8 +92,8 @@ def transformed() -> list[Column]:
         F.log1p("__q.n_words"),
         F.log(F.greatest(F.col("__q.word_chars") / words, F.lit(0.05))),
         F.log1p(100 * F.col("__q.n_symbols") / words),
-        F.log1p(100 * F.col("__q.n_dup_lines") / words),
-        F.log1p(100 * F.col("__q.n_repeat_words") / words) / 4,
+        F.col("__q.n_dup_lines") / words,
+        F.col("__q.n_repeat_words") / words,
     ]
 
 

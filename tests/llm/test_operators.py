@@ -328,6 +328,25 @@ def test_quality_statistics_and_verdicts(documents, odd):
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [3, 10])
+def test_repeated_lines_are_outliers_of_a_clean_group(spark, width):
+    random = np.random.default_rng(8)
+
+    def lines(words):
+        words = words.split()
+        return [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
+
+    clean = [(k, "\n".join(lines(text_of(100 + k, int(random.integers(60, 400)))))) for k in range(300)]
+    # One line twice, which a short document may hold.
+    clean.append((300, "\n".join((x := lines(text_of(500, 90))) + x[:1])))
+    again = lines(text_of(501, width)) * (120 // width)
+    rows = clean + [(301, "\n".join(again + lines(text_of(502, 180))))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert not found[301]["base_failed"] and found[301]["n_repeat_words"] == 120
+    assert [i for i, r in found.items() if not r["kept"]] == [301]
+
+
 def test_language_on_held_out_documents(documents, odd):
     marked = language_id.held_out(documents)
     model = language_id.fit(marked.filter("not held_out"))
