@@ -14,10 +14,11 @@ from seektrail.llm.components import components
 from seektrail.llm.shingles import SHINGLE, shared, shingle_sets
 from seektrail.plans.hot import stored
 
-# Sixty hash evaluations give 120 values: 24 bands of 5. A pair of similarity 0.85 then shares no
-# band with a chance below one in a million.
+# Sixty hash evaluations give 120 values, which are cut into bands of equal size, as large as the
+# threshold allows: a pair at it shares no band with a chance below this. At 0.85 that gives 24
+# bands of 5, at 0.80 30 of 4.
 HASHES = 60
-BANDS = 24
+MISSED = 1e-6
 # Pairs are compared in full unless their signatures differ by more than five standard deviations
 # from what the threshold would give.
 DEVIATIONS = 5
@@ -40,11 +41,20 @@ def signatures(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
+def band_count(percent: int) -> int:
+    """The fewest bands that miss under `MISSED` of the pairs that overlap by `percent`."""
+    values = 2 * HASHES
+    for rows in range(values, 1, -1):
+        if values % rows == 0 and (1 - (percent / 100) ** rows) ** (values // rows) < MISSED:
+            return values // rows
+    return values
+
+
+def bands(signature: np.ndarray, count: int) -> np.ndarray:
     """One 64-bit key per band and set."""
-    keys = np.empty((len(signature), BANDS), np.uint64)
-    rows = signature.shape[1] // BANDS
-    for band in range(BANDS):
+    keys = np.empty((len(signature), count), np.uint64)
+    rows = signature.shape[1] // count
+    for band in range(count):
         key = np.full(len(signature), band, np.uint64)
         for k in range(band * rows, (band + 1) * rows):
             key = mix(key + signature[:, k] + np.uint64(0x9E3779B97F4A7C15))
@@ -57,7 +67,7 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in values], pa.binary())
 
 
-def _describe(size: int):
+def _describe(size: int, count: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches, "text"):
             hashes, limits = shingle_sets(*utf8(piece["text"]), size)
@@ -67,7 +77,7 @@ def _describe(size: int):
             signature[some] = signatures(hashes, np.append(limits[:-1][some], len(hashes)))
             total = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
             other = np.concatenate([[0], np.cumsum(mix(hashes))]).astype(np.uint64)
-            keys = bands(signature).view(np.int64)
+            keys = bands(signature, count).view(np.int64)
             yield pa.record_batch(
                 {
                     "id": piece["id"],
@@ -75,7 +85,7 @@ def _describe(size: int):
                     "d1": pa.array((total[limits[1:]] - total[limits[:-1]]).view(np.int64)),
                     "d2": pa.array((other[limits[1:]] - other[limits[:-1]]).view(np.int64)),
                     "keys": pa.ListArray.from_arrays(
-                        np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()
+                        np.arange(0, keys.size + 1, count, dtype=np.int32), keys.ravel()
                     ),
                     "sketch": _fixed(signature.astype(np.uint8)),
                 }
@@ -216,7 +226,7 @@ def near_duplicates(
     doc_id takes no part: component_id is null, the row is kept. Repeated rows have equal results,
     all kept or none. An empty table gives an empty result.
 
-    Sets that share one of 24 bands of their min-max signatures and whose signatures agree
+    Sets that share a band (see `band_count`) of their min-max signatures and whose signatures agree
     well enough form candidate groups; each candidate's whole set goes once to its group, where
     links are confirmed on whole sets. Groups above `block_rows` or `block_bytes` are dealt out by
     pairs of parts. Nothing is capped. Runs jobs while it is called.
@@ -224,7 +234,7 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     described = stored(
         texts.mapInArrow(
-            _describe(size),
+            _describe(size, band_count(percent)),
             "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch binary",
         ),
         "described",

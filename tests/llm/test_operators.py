@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -23,6 +24,7 @@ from seektrail.llm import (
 )
 from seektrail.llm.common import packed
 from seektrail.llm.components import components
+from seektrail.llm import near_duplicates as near_duplicates_module
 from seektrail.llm.near_duplicates import near_duplicates
 from seektrail.llm.suffix_array import permuted_prefixes, suffix_array
 from seektrail.llm.tokens import Encoder
@@ -228,6 +230,27 @@ def test_near_duplicates_of_odd_rows(odd):
     assert near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_pipeline_stage_drops_near_duplicates_from_80_percent(spark):
+    words = text_of(9, 150).split()
+    near, apart = list(words), list(words)
+    for k in (30, 75, 120):
+        near[k] = f"w{k}"
+    for k in (20, 50, 80, 110):
+        apart[k] = f"v{k}"
+    a, b, c = (shingles(" ".join(x)) for x in (words, near, apart))
+    assert 0.80 < len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.80
+    rows = [(k, " ".join(x)) for k, x in enumerate((words, near, apart))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_bands_follow_the_threshold(percent):
+    count = near_duplicates_module.band_count(percent)
+    assert 120 % count == 0 and (1 - (percent / 100) ** (120 // count)) ** count < 1e-6
+    assert {80: 30, 85: 24}.get(percent, count) == count
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
