@@ -270,6 +270,17 @@ def test_encoder_gives_the_ids_of_the_json_vocabulary(documents):
     assert [ids.tolist() for ids in Encoder().ids(texts)] == expected
 
 
+def test_names_of_special_tokens_are_ordinary_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True  # as the vocabulary's README says
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one<|endoftext|>two", "<|endoftext|><|endoftext|>\n"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in Encoder().ids(texts)] == expected
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_plan_equals_best_fit_piece_by_piece(score):
     random = np.random.default_rng(2)
