@@ -121,13 +121,9 @@ def decompose(word: str, common: set[str]) -> list[tuple[int, str]]:
     return out
 
 
-def affected_bound(spans: list[tuple[int, int]], length: int) -> int:
+def affected_bound(spans: list[tuple[int, int]]) -> int:
     """The most of the spans (first, last place of a gram) that one edit can affect."""
-    held = np.zeros(length + 3, np.int64)
-    for a, b in spans:
-        held[a] += 1
-        held[b + 1] -= 1
-    return int(held.cumsum()[1 : length + 1].max(initial=0))
+    return max(sum(a <= first <= b for a, b in spans) for first, _ in spans)
 
 
 def _key(gram: str, right: int, at: int, length: int) -> int:
@@ -173,43 +169,49 @@ def _index(common: set[str]):
     return index
 
 
-def choose(word: str, common: set[str], sizes: dict[int, int]) -> list[int]:
-    """The keys of the cheapest lists among which every near word must be found once.
+def choose(lists: list[tuple[int, int, int, int]], costs: list[int]) -> list[int]:
+    """The keys of the cheapest of a word's lists among which every near word must be found once.
 
     Two grams are taken, one left of the other, so that no edit affects both: the bound of affected
     grams is one, and a near word is in the left one's list from the start or in the right one's
-    from the end. `sizes` holds the large lists.
+    from the end.
     """
-    lists, best, n = _lists(word, common), None, len(word)
-    cheapest: list[tuple[int, int, int, int]] = []  # (last place, size, key, first place), ever cheaper
-    around = range(max(1, n - 1), n + 2)
-    lengths = np.array(around)
-
-    def cost(key: int) -> int:
-        return sum(sizes.get(k, 1) for k in _mixed(np.full(len(lengths), key, np.uint64), lengths).tolist())
-
-    lefts = sorted(((b, a, k) for a, b, side, k in lists if side == 0))
-    rights = sorted(((a, b, k) for a, b, side, k in lists if side == 1))
-    at, low = 0, None
-    for a, b, k in rights:
+    lefts = sorted((b, cost, a, key) for (a, b, side, key), cost in zip(lists, costs) if side == 0)
+    rights = sorted((a, cost, b, key) for (a, b, side, key), cost in zip(lists, costs) if side == 1)
+    best = left = None
+    at = 0
+    for a, cost, b, key in rights:
         while at < len(lefts) and lefts[at][0] < a:
-            size = cost(lefts[at][2])
-            if low is None or size < low[0]:
-                low = (size, lefts[at][2], lefts[at][1], lefts[at][0])
+            if left is None or lefts[at][1] < left[1]:
+                left = lefts[at]
             at += 1
-        if low is not None and (best is None or low[0] + (size := cost(k)) < best[0]):
-            best = (low[0] + cost(k), low[1], k, [(low[2], low[3]), (a, b)])
-    if best is None or affected_bound(best[3], n) > 1:
-        raise ValueError(f"no two grams of {word!r} lie apart")
-    return [best[1], best[2]]
+        if left is not None and (best is None or left[1] + cost < best[0]):
+            best = (left[1] + cost, left, (a, b, key))
+    if best is None or affected_bound([(best[1][2], best[1][0]), best[2][:2]]) > 1:
+        raise ValueError("no two grams of a word lie apart")
+    return [best[1][3], best[2][2]]
 
 
 def _probe(common: set[str], sizes: dict[int, int]):
+    """Three rows, for the lengths of near words, for each chosen list. `sizes` has the large ones."""
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(sorted(sizes) or [0], np.int64)
+        size = np.array([sizes.get(k, 1) for k in known.tolist()], np.int64)
         for batch in slices(batches, 1_024):
             words = batch["word"].to_pylist()
-            keys = np.array([choose(w, common, sizes) for w in words], np.uint64)
+            lists = [_lists(w, common) for w in words]
+            limits = np.cumsum([0, *map(len, lists)])
             n = np.fromiter(map(len, words), np.int64, len(words))
+            keys = np.fromiter((x[3] for y in lists for x in y), np.uint64, limits[-1])
+            costs = np.zeros(len(keys), np.int64)
+            for d in (-1, 0, 1):
+                key = _mixed(keys, np.repeat(n, np.diff(limits)) + d)
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                costs += np.where(known[at] == key, size[at], 1)
+            costs = costs.tolist()
+            chosen = [choose(x, costs[a:b]) for x, a, b in zip(lists, limits[:-1], limits[1:], strict=True)]
+            keys = np.array(chosen, np.uint64)
             mixed = [_mixed(keys[:, k], n + d) for k in range(keys.shape[1]) for d in (-1, 0, 1)]
             rows = batch.take(pa.array(np.tile(np.arange(len(words)), len(mixed))))
             yield pa.record_batch(

@@ -113,8 +113,8 @@ def test_spelling_groups_of_the_table(spark, documents):
 
 
 def test_affected_bound_counts_what_one_edit_touches():
-    assert spelling_groups.affected_bound([(0, 3), (4, 8)], 7) == 1
-    assert spelling_groups.affected_bound([(0, 4), (4, 8), (3, 5)], 7) == 3
+    assert spelling_groups.affected_bound([(0, 3), (4, 8)]) == 1
+    assert spelling_groups.affected_bound([(0, 4), (4, 8), (3, 5)]) == 3
 
 
 def plain_search(rows, items, best=50):
