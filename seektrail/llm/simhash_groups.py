@@ -24,8 +24,9 @@ SEGMENTS = 2
 # Members of a group that one task compares. Larger groups are parted by variants of their other
 # bits; after two such steps no group can hold more.
 GROUP = 2_048
-# Shingles that are hashed at once.
-HASHED = 1 << 20
+# Shingles that are hashed and counted by bit at once, and bytes of text that become arrays at once.
+HASHED = 1 << 16
+PIECE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,14 +69,14 @@ def fingerprints(data: np.ndarray, limits: np.ndarray, size: int = SHINGLE) -> n
         hashes = np.fromiter((digest(text[a:b], SEED) for a, b in spans), ">u8", len(part))
         bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS)
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        ones[part[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+        ones[part[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
     packed = np.packbits(2 * ones > counts[:, None], axis=1)
     return packed.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def _describe(size: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in in_pieces(batches, "text"):
+        for piece in in_pieces(batches, "text", PIECE_BYTES):
             found = fingerprints(*utf8(piece["text"]), size)
             yield pa.record_batch({"doc_id": piece["doc_id"], "id": pa.array(found.view(np.int64))})
 
@@ -141,7 +142,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> Dat
         keyed = _variants(members, width)
         counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         counts = stored(counts, "counts")
-        joined = keyed.join(counts, "key")
+        # Counts grow with the fingerprints: no broadcast, and Spark can split a key with many rows.
+        joined = keyed.join(counts.hint("merge"), "key")
         width //= SEGMENTS
         last = width <= 8
         small = joined if last else joined.filter(F.col("n") <= most)
