@@ -80,7 +80,8 @@ def _describe(size: int, count: int):
             keys = bands(signature, count).view(np.int64)
             yield pa.record_batch(
                 {
-                    "id": piece["id"],
+                    "doc_id": piece["doc_id"],
+                    "h": piece["h"],
                     "n": pa.array(sizes, pa.int64()),
                     "d1": pa.array((total[limits[1:]] - total[limits[:-1]]).view(np.int64)),
                     "d2": pa.array((other[limits[1:]] - other[limits[:-1]]).view(np.int64)),
@@ -98,7 +99,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for a shuffle."""
     for batch in slices(batches):
         sizes, values = packed(batch["text"])
-        yield pa.record_batch({"id": batch["id"], "size": sizes, "packed": values})
+        columns = {c: batch[c] for c in ("doc_id", "h")}
+        yield pa.record_batch(columns | {"size": sizes, "packed": values})
 
 
 def _sets(size: int):
@@ -224,30 +226,80 @@ def near_duplicates(
     with fewer than `size` words is one shingle; one without words, or a null text, has none and
     is linked with nothing. Rows with equal sets are one node, however many there are. A null
     doc_id takes no part: component_id is null, the row is kept. Repeated rows have equal results,
-    all kept or none. An empty table gives an empty result.
+    all kept or none. Rows that share a doc_id but not the text are documents of their own. An
+    empty table gives an empty result.
 
     Sets that share a band (see `band_count`) of their min-max signatures and whose signatures agree
     well enough form candidate groups; each candidate's whole set goes once to its group, where
     links are confirmed on whole sets. Groups above `block_rows` or `block_bytes` are dealt out by
     pairs of parts. Nothing is capped. Runs jobs while it is called.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    described, found = _found(docs, percent, size, block_rows, block_bytes)
+    joined = described.join(found, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return joined.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+    )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    percent: int = 85,
+    size: int = SHINGLE,
+    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of `docs`, all columns, without near-duplicates: one row of each component stays.
+
+    Components are those of `near_duplicates`. The row with the smallest doc_id stays; of rows that
+    share it, one with the fewest shingles. Rows are told apart by doc_id and text, so a document
+    stays if only another one of its doc_id is a duplicate. Rows that repeat both are one document:
+    one of them stays. A null doc_id takes no part, documents without words are no duplicates. An
+    empty table gives an empty result. Runs jobs while it is called.
+    """
+    described, found = _found(docs, percent, size, block_rows, block_bytes)
+    once = described.dropDuplicates(["doc_id", "h"]).filter("doc_id is not null and n > 0")
+    linked = once.join(found, ["n", "d1", "d2"])
+    stays = F.struct("doc_id", "n", "h")
+    best = linked.groupBy("component").agg(F.min(stays).alias("stays"))
+    gone = linked.join(best, "component").filter(stays != F.col("stays"))
+    gone = stored(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "gone")
+    h = F.xxhash64(F.col("text").cast("string"))
+    left = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (h == gone["__h"]), "left_anti")
+    again = described.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    again = stored(again.agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        return left
+    # Only the rows that are there several times are brought together.
+    same = docs["doc_id"].eqNullSafe(again["__id"]) & (h == again["__h"])
+    one = left.join(again, same, "left_semi").withColumn("__h", h).dropDuplicates(["doc_id", "__h"])
+    return left.join(again, same, "left_anti").unionByName(one.drop("__h"))
+
+
+def _found(docs: DataFrame, percent: int, size: int, block_rows: int, block_bytes: int):
+    """doc_id, n, d1, d2 and h (hash of the text) per row, and of each set (n, d1, d2) with a doc_id
+    its `component` (a number) and component_id."""
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
     described = stored(
         texts.mapInArrow(
             _describe(size, band_count(percent)),
-            "id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch binary",
+            "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch binary",
         ),
         "described",
     )
     digest = ["n", "d1", "d2"]
+    # Rows with equal sets are one node. Its number is its own: rows may share a doc_id.
     sketched = stored(
-        described.filter("n > 0 and id is not null")
+        described.filter("n > 0 and doc_id is not null")
         .groupBy(*digest)
-        .agg(F.min("id").alias("id"), F.min(F.struct("keys", "sketch")).alias("s"))
-        .select("id", *digest, "s.keys", "s.sketch"),
+        .agg(F.min(F.struct("doc_id", "h")).alias("r"), F.min(F.struct("keys", "sketch")).alias("s"))
+        .select(F.monotonically_increasing_id().alias("id"), *digest, "r.*", "s.keys", "s.sketch"),
         "sketched",
     )
-    classes = sketched.select(*digest, F.col("id").alias("rep"))
     keyed = sketched.select("id", F.explode("keys").alias("key"))
     parts = F.ceil(F.col("rows") / block_rows).cast("int")
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
@@ -258,22 +310,20 @@ def near_duplicates(
     groups = stored(
         components(_compare(members, percent, False))
         .withColumnRenamed("component", "key")
-        .join(sketched.select("id", "n", "sketch"), "id"),
+        .join(sketched.select("id", "doc_id", "h", "n", "sketch"), "id"),
         "groups",
     )
     volume = groups.groupBy("key").agg(F.sum(8 * F.col("n") + 200).alias("bytes"))
     parts = F.ceil(F.col("bytes") / block_bytes).cast("int")
     groups = groups.join(volume.select("key", parts.alias("parts")), "key")
-    whole = texts.filter("id is not null").mapInArrow(_packed, "id bigint, size bigint, packed binary")
-    sets = whole.join(groups, "id").mapInArrow(
-        _sets(size), "id bigint, key bigint, parts int, n bigint, sketch binary, hashes binary"
+    whole = texts.filter("doc_id is not null").mapInArrow(
+        _packed, "doc_id bigint, h bigint, size bigint, packed binary"
     )
-    found = components(_compare(sets, percent, True)).withColumnRenamed("id", "rep")
-    joined = described.select("id", *digest).join(classes, digest, "left").join(found, "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return joined.select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+    sets = whole.join(groups, ["doc_id", "h"]).mapInArrow(
+        _sets(size), "id bigint, key bigint, parts int, n bigint, sketch binary, hashes binary"
     )
+    linked = components(_compare(sets, percent, True))
+    nodes = sketched.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = nodes.join(least, "component").select(*digest, "component", "component_id")
+    return described.drop("keys", "sketch"), stored(found, "components")

@@ -147,7 +147,8 @@ def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS) -> Ordi
     rated = rated.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = stored(rated.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(fit_rows), "rated")
     # At most fit_rows rows of two numbers.
-    texts = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    texts = docs.select("doc_id", F.col("text").cast("string")).filter("text is not null")
+    texts = texts.join(F.broadcast(chosen), "doc_id").select("text", "grade")
     found = texts.mapInArrow(_featurize, "grade int, places binary").collect()
     found = sorted(found)
     rows = [np.frombuffer(r["places"], np.int32).astype(np.int64) for r in found]

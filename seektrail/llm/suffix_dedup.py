@@ -194,12 +194,15 @@ def _repeats(length: int):
             valid = within + length <= sizes[piece]
             order = suffix_array(data)
             prefixes = permuted_prefixes(data, order)
-            same = prefixes[order] >= length
-            same[1:] &= valid[order[1:]] & valid[order[:-1]]
-            groups = np.flatnonzero(~same)
-            earliest = np.minimum.reduceat(order, groups)
             first = np.zeros(len(data), bool)
-            first[earliest] = True
+            whole = np.flatnonzero(valid[order])
+            if len(whole):
+                # Places that cross pieces may stand between equal windows, as texts may hold the
+                # byte that parts pieces: common prefixes are taken over them.
+                since = np.concatenate([[0], whole[:-1] + 1])
+                shared = np.minimum.reduceat(prefixes[order[: whole[-1] + 1]], since)
+                shared[0] = 0
+                first[np.minimum.reduceat(order[whole], np.flatnonzero(shared < length))] = True
             a, b = _runs(valid & ~first)
             ids, vs, starts, parts = (table[c].to_numpy() for c in ("id", "v", "start", "parts"))
             nothing = pa.array(np.zeros(len(a), np.int64))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seektrail.llm.common import in_pieces
 from seektrail.llm.tokens import Encoder
+from seektrail.plans.hot import stored
 
 # Lengths that one task sums up after the sums per bin are known.
 BIN = 4_096
@@ -35,14 +36,16 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     tokens if every document is cut to that length. An empty table gives no rows.
 
     Texts are counted where they are read and only (length, documents) is shuffled, so repeated
-    lengths are summed before. Suffix sums go over bins of lengths, then within each bin.
+    lengths are summed before. Suffix sums go over bins of lengths, then within each bin. Runs a job
+    while it is called.
     """
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
         _lengths(vocabulary), "length bigint, docs bigint"
     )
     tokens = F.col("length") * F.col("docs")
     table = counted.groupBy("length").agg(F.sum("docs").alias("docs"))
-    table = table.withColumn("bin", F.expr(f"length div {BIN}"))
+    # Stored: bins and sums would each encode all texts otherwise.
+    table = stored(table.withColumn("bin", F.expr(f"length div {BIN}")), "lengths")
     bins = table.groupBy("bin").agg(F.sum("docs").alias("d"), F.sum(tokens).alias("t"))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(

@@ -244,6 +244,19 @@ def test_pipeline_stage_drops_near_duplicates_from_80_percent(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2]
 
 
+def test_rows_that_share_an_id_are_dropped_one_by_one(spark):
+    a, b, c = text_of(31), text_of(32), text_of(33)
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, None), (5, None), (6, b + " x"), (6, c), (None, a), (None, a), (7, ""), (8, "")]
+    df = spark.createDataFrame([(*r, "x", 3, 4) for r in rows], "doc_id bigint, text string, h string, n int, component int")
+    left = near_duplicates_module.drop_near_duplicates(df.repartition(4))
+    assert left.columns == df.columns
+    expected = Counter([(1, a), (5, b), (5, None), (6, c), (None, a), (7, ""), (8, "")])
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == expected
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect()}
+    assert {(5, 116, 1), (5, 116, 5), (6, 117, 5), (6, 116, 6)} <= found
+    assert near_duplicates_module.drop_near_duplicates(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_bands_follow_the_threshold(percent):
     count = near_duplicates_module.band_count(percent)
@@ -504,3 +517,23 @@ def test_grades_on_held_out_documents(spark, odd):
     assert quality_classifier.classify(odd.limit(0), model, 2).count() == 0
     empty = quality_classifier.train(odd, ratings.limit(0))
     assert quality_classifier.classify(odd, empty, 2).count() == odd.count()
+
+
+def test_suffix_dedup_of_texts_that_hold_the_byte_between_pieces(spark):
+    random = np.random.default_rng(8)
+    stock = ["".join(random.choice(list("ab\0"), 40)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [stock[random.integers(6)] for _ in range(random.integers(1, 5))]
+        rows.append((i, "\0" * int(random.integers(0, 3)) + "".join(parts) + "\0" * int(random.integers(0, 60))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = brute_removed(rows, 50)
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(df, 50, gram=20).collect()}
+    assert found == {i: tuple(x[1:3]) for i, x in expected.items()}
+
+
+def test_quality_classifier_with_a_column_of_grades(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    odd = documents.selectExpr("doc_id", "text", "'x' AS grade", "1 AS places")
+    model = quality_classifier.train(odd, quality_classifier.grades(labels))
+    assert quality_classifier.classify(odd, model, 2).count() == odd.count()
