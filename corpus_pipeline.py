@@ -11,10 +11,8 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from seektrail.llm import mixing, packing, quality_rules, suffix_dedup
-from seektrail.llm.near_duplicates import near_duplicates
+from seektrail.llm import mixing, near_duplicates, packing, quality_rules, suffix_dedup
 from seektrail.plans.hot import shared_dir
 from seektrail.sources.tables import read_table
 
@@ -22,12 +20,6 @@ from seektrail.sources.tables import read_table
 NEAR_PERCENT = 80
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose row among the verdicts is kept. Null ids cannot be matched and stay."""
-    gone = verdicts.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def reject_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules of their language and source."""
     return quality_rules.drop_outliers(docs)
@@ -37,8 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates, that with the smallest doc_id.
 
     Near-duplicates overlap by `NEAR_PERCENT` of their word shingles or more."""
-    one = docs.dropDuplicates(["doc_id", "text"])
-    return _kept(one, near_duplicates(one, NEAR_PERCENT))
+    return near_duplicates.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
