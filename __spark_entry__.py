@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from datetime import timedelta
@@ -16,7 +17,7 @@ if str(Path(__file__).parent) not in sys.path:
 
 from seektrail.functions.conditions import no_result
 from seektrail.functions.hashing import fingerprint as table_fingerprint
-from seektrail.operators import behaviour, privacy, quality, reduction, sessions, snapshots, tables
+from seektrail.operators import behaviour, journeys, privacy, quality, reduction, sessions, snapshots, tables
 from seektrail.plans.hot import shared_dir
 from seektrail.plans.stages import run_stages
 from seektrail.sources.model import FOREIGN_KEYS, SCHEMAS
@@ -25,6 +26,14 @@ from seektrail.sources.tables import read_table, search_log
 
 # The stand-in log has a median of over seven hours between a user's events.
 WITHIN = timedelta(hours=6)
+# Steps that end without or after a repeated search without results.
+PATTERNS = {
+    "found after none": "search no_result+ search detail",
+    "gave up": "no_result no_result+ other",
+    "looked on": "no_result+ search",
+    "details only": "detail detail+",
+}
+PATTERN_WITHIN = timedelta(days=2)
 SALT = "example salt"
 SUBSET = 0.2
 NATIONS = 0.3
@@ -140,6 +149,23 @@ def compare_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.withColumns({c: F.round(c, 6) for c in ("difference", "z")})
 
 
+def clustered_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = behaviour.detail_entry(_log(spark, sf_dir, "search", "detail"), WITHIN)
+    found = F.col("result_count") > 0
+    result = tables.clustered_comparison(
+        entries, "user_id", found, F.col("entered"), True, False, replicates=200
+    )
+    return result.withColumns({c: F.round(c, 6) for c in ("difference", "low", "high", "p_value")})
+
+
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journeys.pattern_matches(_log(spark, sf_dir), PATTERNS, PATTERN_WITHIN)
+
+
+def journey_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journeys.journey_patterns(_log(spark, sf_dir), PATTERNS, PATTERN_WITHIN)
+
+
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("orders", "lineitem", "customer", "documents", "labels")
     return quality.quality_report(_tables(spark, sf_dir, *names), RULES)
@@ -305,11 +331,12 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries and SQL of the subpackage `llm` and its pipeline, if they are there."""
-    try:
-        import corpus_pipeline
-        from seektrail.llm import queries as llm
-    except ImportError:
+    # Only what is not there is left out; an error within it is an error.
+    if not all(map(importlib.util.find_spec, ("corpus_pipeline", "seektrail.llm"))):
         return {}, {}
+    import corpus_pipeline
+    from seektrail.llm import queries as llm
+
     found = {query.__name__: query for query in llm.QUERIES} | {"pipeline": corpus_pipeline.run}
     sql = dict(llm.ORACLE_SQL)
     if corpus_pipeline.ORACLE_SQL:
@@ -333,6 +360,9 @@ QUERIES = (
     daily_trend,
     time_to_detail,
     compare_groups,
+    clustered_comparison,
+    pattern_matches,
+    journey_patterns,
     quality_report,
     row_rules,
     duplicate_keys,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 
@@ -88,3 +89,81 @@ def compare_groups(df: DataFrame, group: Column, flag: Column, a: object, b: obj
             "z": pooled_z(*map(F.col, ("n_a", "hits_a", "n_b", "hits_b"))),
         }
     )
+
+
+# A Poisson(1) count is how many of these a uniform 32-bit number reaches: the shares of counts of
+# up to 0, 1, 2, ... times 2^32, rounded down (fixed values of the distribution).
+_POISSON = [
+    int(2**32 * math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1))) for n in range(12)
+]
+
+
+def poisson_replicates(df: DataFrame, cluster: str, sums: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """`sums` over all rows in each of `replicates` Poisson bootstrap samples of whole clusters.
+
+    `df` has one row per cluster. Its weight in a replicate follows from an md5 of seed, cluster and
+    replicate, four replicates to an md5, so reruns and other engines agree. All replicates are
+    sums of one aggregation, of which a task hands on one row each.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string"), "draw"))
+    draws = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))))
+    draws = draws.withColumn("digest", digest).withColumn("word", F.explode(F.array(*map(F.lit, range(4)))))
+    uniform = F.conv(F.substring(F.col("digest"), 1 + 8 * F.col("word"), F.lit(8)), 16, 10).cast("bigint")
+    draws = draws.withColumn("uniform", uniform).withColumn("replicate", 4 * F.col("draw") + F.col("word"))
+    weight = F.lit(0)
+    for limit in _POISSON:
+        weight = weight + (F.col("uniform") >= limit).cast("int")
+    drawn = draws.filter(F.col("replicate") < replicates).withColumn("weight", weight)
+    return drawn.groupBy("replicate").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in sums])
+
+
+def clustered_comparison(
+    df: DataFrame,
+    cluster: str,
+    group: Column,
+    flag: Column,
+    a: object,
+    b: object,
+    replicates: int = 1_000,
+    level: float = 0.95,
+    seed: int = 1,
+) -> DataFrame:
+    """The difference between the shares of `flag` in groups `a` and `b`, with an interval and p value.
+
+    One row: clusters, difference, low, high (the middle `level` of the replicates' differences),
+    p_value (twice the smaller share of replicates on one side of no difference, at most 1) and
+    replicates (those in which both groups have rows). Rows of one cluster, such as the searches of
+    a user, need not be independent: whole clusters are drawn. Rows without a cluster or a flag are
+    left out. Without rows in both groups all but the counts is null.
+    """
+    known = df.withColumns({"__c": F.col(cluster), "__g": group, "__f": flag})
+    known = known.filter("__c is not null and __f is not null")
+    counted = {
+        "n_a": F.count_if(F.col("__g") == a),
+        "hits_a": F.count_if(F.col("__f") & (F.col("__g") == a)),
+        "n_b": F.count_if(F.col("__g") == b),
+        "hits_b": F.count_if(F.col("__f") & (F.col("__g") == b)),
+    }
+    each = known.groupBy("__c").agg(*[c.alias(name) for name, c in counted.items()])
+    each = each.filter("n_a + n_b > 0")
+    difference = F.try_divide("hits_a", "n_a") - F.try_divide("hits_b", "n_b")
+    drawn = poisson_replicates(each, "__c", [*counted], replicates, seed)
+    drawn = drawn.select(difference.alias("d")).filter("d is not null")
+    tail = (1 - level) / 2
+    # One row per replicate.
+    spread = drawn.agg(
+        F.count(F.lit(1)).alias("replicates"),
+        F.percentile("d", tail).alias("low"),
+        F.percentile("d", 1 - tail).alias("high"),
+        F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))).alias("side"),
+    )
+    whole = each.agg(F.count(F.lit(1)).alias("clusters"), *[F.sum(c).alias(c) for c in counted])
+    # Both sides are one row.
+    return whole.crossJoin(spread).select(
+        "clusters",
+        difference.alias("difference"),
+        "low",
+        "high",
+        F.when(F.col("side").isNotNull(), F.least(2 * F.col("side"), F.lit(1.0))).alias("p_value"),
+        "replicates",
+    )

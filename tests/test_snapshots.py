@@ -150,3 +150,54 @@ def test_a_rebuilt_stage_rebuilds_all_after_it(spark, tmp_path):
     assert again["count"].first()[0] == 5
     changed = run_stages(spark, stages, {"n": spark.range(14)}, str(tmp_path), resume=True)
     assert changed["count"].first()[0] == 7
+
+
+def test_a_run_that_breaks_off_leaves_nothing_stale(spark, tmp_path):
+    def stages(fail):
+        def total(t):
+            if fail:
+                raise RuntimeError("broken off")
+            return t["half"].groupBy().agg(F.sum("n").alias("n"))
+
+        return [
+            ("half", lambda t: t["rows"].groupBy().agg(F.count(F.lit(1)).alias("n"))),
+            ("total", total),
+            ("tens", lambda t: t["total"].selectExpr("n", "n * 10 AS m")),
+        ]
+
+    first, second = {"rows": spark.range(3)}, {"rows": spark.range(7)}
+    assert tuple(run_stages(spark, stages(False), first, str(tmp_path))["tens"].first()) == (3, 30)
+    with pytest.raises(RuntimeError):
+        run_stages(spark, stages(True), second, str(tmp_path))
+    done = run_stages(spark, stages(False), second, str(tmp_path), resume=True)
+    assert tuple(done["tens"].first()) == (7, 70)
+    again = run_stages(spark, stages(False), first, str(tmp_path), resume=True)
+    assert tuple(again["tens"].first()) == (3, 30)
+
+
+def test_changed_code_and_a_half_written_stage_are_run_again(spark, tmp_path):
+    calls = []
+
+    def stages(times):
+        def rows(t):
+            calls.append("rows")
+            return t["n"].filter("id > 1")
+
+        def scaled(t):
+            calls.append("scaled")
+            return t["rows"].selectExpr(f"id * {times} AS id")
+
+        return [("rows", rows), ("scaled", scaled)]
+
+    def run(times):
+        calls.clear()
+        result = run_stages(spark, stages(times), {"n": spark.range(4)}, str(tmp_path), resume=True)
+        return sorted(r["id"] for r in result["scaled"].collect()), list(calls)
+
+    assert run(2) == ([4, 6], ["rows", "scaled"])
+    assert run(2) == ([4, 6], [])
+    assert run(3) == ([6, 9], ["scaled"])
+    # As left by a run that ended while it wrote the result again: complete files, empty manifest.
+    empty = spark.createDataFrame([], "made_from string, schema string")
+    empty.write.mode("overwrite").parquet(f"{tmp_path}/manifests/01_rows")
+    assert run(3) == ([6, 9], ["rows", "scaled"])

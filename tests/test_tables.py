@@ -1,3 +1,5 @@
+import hashlib
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seektrail.functions.conditions import no_result
 from seektrail.operators import tables
+from seektrail.operators.tables import clustered_comparison
 from seektrail.plans.percentiles import exact_percentiles
 
 
@@ -105,3 +108,68 @@ def test_compare_groups(spark):
 )
 def test_no_z_without_variation_or_group(spark, rows):
     assert compared(spark, rows)["z"] is None
+
+
+def plain_comparison(rows, replicates, seed):
+    """rows: (cluster, group, flag)."""
+    clusters = {}
+    for c, g, f in rows:
+        if c is not None and f is not None and g in "ab":
+            n = clusters.setdefault(c, {"a": [0, 0], "b": [0, 0]})[g]
+            n[0], n[1] = n[0] + 1, n[1] + f
+    limits = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1))) for n in range(12)]
+
+    def difference(weights):
+        sums = {g: [sum(w * clusters[c][g][k] for c, w in weights.items()) for k in (0, 1)] for g in "ab"}
+        if sums["a"][0] and sums["b"][0]:
+            return sums["a"][1] / sums["a"][0] - sums["b"][1] / sums["b"][0]
+
+    found = []
+    for r in range(replicates):
+        weights = {}
+        for c in clusters:
+            digest = hashlib.md5(f"{seed}:{c}:{r // 4}".encode()).hexdigest()
+            weights[c] = sum(int(digest[8 * (r % 4) :][:8], 16) >= x for x in limits)
+        found.append(difference(weights))
+    found = np.array([d for d in found if d is not None])
+    sides = min((found <= 0).mean(), (found >= 0).mean())
+    return (
+        len(clusters), difference(dict.fromkeys(clusters, 1)), *np.quantile(found, [0.025, 0.975]), min(1, 2 * sides), len(found),
+    )
+
+
+def test_clustered_comparison_equals_plain_python(spark):
+    random = np.random.default_rng(3)
+    rows = []
+    for c in range(40):
+        lean = random.random()
+        for _ in range(random.integers(1, 30)):
+            rows.append((c, "ab"[random.integers(2)], bool(random.random() < lean)))
+    rows += [(None, "a", True), (1, "c", True), (2, "a", None)]
+    df = spark.createDataFrame(rows, "user int, kind string, hit boolean").repartition(3)
+    result = clustered_comparison(df, "user", F.col("kind"), F.col("hit"), "a", "b", replicates=90, seed=5)
+    expected = plain_comparison(rows, 90, 5)
+    assert tuple(result.first()) == pytest.approx(expected)
+    again = clustered_comparison(df.repartition(7), "user", F.col("kind"), F.col("hit"), "a", "b", 90, seed=5)
+    assert again.first() == result.first()
+
+
+def test_clustered_interval_is_wider_where_users_differ(spark):
+    # Every user has one outcome only: 30 users are 30 observations, however many rows they have.
+    rows = [(u, "ab"[u % 2], u % 3 == 0) for u in range(30) for _ in range(50)]
+    df = spark.createDataFrame(rows, "user int, kind string, hit boolean")
+    alone = df.withColumn("row", F.monotonically_increasing_id())
+    wide, narrow = (
+        clustered_comparison(x, c, F.col("kind"), F.col("hit"), "a", "b", 200).first()
+        for x, c in ((df, "user"), (alone, "row"))
+    )
+    assert wide["high"] - wide["low"] > 4 * (narrow["high"] - narrow["low"])
+    assert wide["low"] < wide["difference"] < wide["high"]
+
+
+def test_clustered_comparison_without_a_group(spark):
+    df = spark.createDataFrame([(1, "a", True)], "user int, kind string, hit boolean")
+    row = clustered_comparison(df, "user", F.col("kind"), F.col("hit"), "a", "b", 20).first()
+    assert tuple(row) == (1, None, None, None, None, 0)
+    row = clustered_comparison(df.limit(0), "user", F.col("kind"), F.col("hit"), "a", "b", 20).first()
+    assert (row["clusters"], row["difference"], row["replicates"]) == (0, None, 0)
