@@ -15,9 +15,19 @@ from pyspark.sql import functions as F
 if str(Path(__file__).parent) not in sys.path:
     sys.path.insert(0, str(Path(__file__).parent))
 
-from seektrail.functions.conditions import no_result
+from seektrail.functions.conditions import no_result, step
 from seektrail.functions.hashing import fingerprint as table_fingerprint
-from seektrail.operators import behaviour, journeys, privacy, quality, reduction, sessions, snapshots, tables
+from seektrail.operators import (
+    behaviour,
+    journeys,
+    privacy,
+    quality,
+    reduction,
+    sequences,
+    sessions,
+    snapshots,
+    tables,
+)
 from seektrail.plans.hot import shared_dir
 from seektrail.plans.stages import run_stages
 from seektrail.sources.model import FOREIGN_KEYS, SCHEMAS
@@ -36,6 +46,7 @@ PATTERNS = {
 PATTERN_WITHIN = timedelta(days=2)
 SALT = "example salt"
 SUBSET = 0.2
+PEOPLE = 1_000
 NATIONS = 0.3
 
 RULES = (
@@ -136,6 +147,31 @@ def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.daily_trend(log, F.count_if(no_result()), days=7)
 
 
+def rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.rolling_users(_log(spark, sf_dir), days=7, by=["kind"])
+
+
+def frequent_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by area, with and without results, that follow each other for 4 users in 10."""
+    log = _log(spark, sf_dir, "search")
+    item = F.concat_ws(" ", step(), F.col("cond")["area"])
+    found = sequences.frequent_sequences(log, "user_id", ["ts", "event_id"], item, 0.4, longest=3)
+    return found.withColumn("pattern", F.array_join("pattern", " > "))
+
+
+def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pii_report(_tables(spark, sf_dir, "customer", "documents", "part"))
+
+
+def subset_of_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a given number of customers."""
+    names = ("customer", "orders", "lineitem", "events")
+    small = reduction.referential_subset(
+        _tables(spark, sf_dir, *names), FOREIGN_KEYS, "customer", "c_custkey", root_rows=PEOPLE
+    )
+    return small["events"]
+
+
 def time_to_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir, "search", "detail")
     result = tables.time_to_detail(log, WITHIN, [0.1, 0.5, 0.9], by=["result_count"])
@@ -358,6 +394,8 @@ QUERIES = (
     behaviour_rollup,
     behaviour_cube,
     daily_trend,
+    rolling_users,
+    frequent_sequences,
     time_to_detail,
     compare_groups,
     clustered_comparison,
@@ -373,10 +411,12 @@ QUERIES = (
     pseudonymize,
     pii_scan,
     pii_mask,
+    pii_report,
     column_profile,
     referential_subset,
     referential_subset_orders,
     broken_references,
+    subset_of_people,
     sample_drift,
     dictionary,
     dictionary_encode,

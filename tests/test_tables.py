@@ -173,3 +173,33 @@ def test_clustered_comparison_without_a_group(spark):
     assert tuple(row) == (1, None, None, None, None, 0)
     row = clustered_comparison(df.limit(0), "user", F.col("kind"), F.col("hit"), "a", "b", 20).first()
     assert (row["clusters"], row["difference"], row["replicates"]) == (0, None, 0)
+
+
+def test_rolling_users_exact_and_by_sketch(spark):
+    random = np.random.default_rng(6)
+    days = [d for d in range(40) if d % 11]
+    rows = [
+        (k, at(int(1440 * days[random.integers(len(days))] + random.integers(1440))), int(random.integers(4_000)), ["search", "detail", None][random.integers(3)], 1, {})
+        for k in range(9_000)
+    ]
+    rows += [(9_001, at(0), None, "search", 1, {}), (9_002, None, 3, "search", 1, {})]
+    log = log_of(spark, *rows).repartition(4)
+
+    def plain(length, kinds):
+        users = {}
+        for _, ts, user, kind, *_ in rows:
+            if user is not None and ts is not None:
+                users.setdefault((kind if kinds else 0, ts.date()), set()).add(user)
+        return {
+            (*([g] if kinds else []), d): len(set().union(*(u for (h, e), u in users.items() if h == g and 0 <= (d - e).days < length)))
+            for g, d in users
+        }
+
+    for length, by in ((1, []), (7, []), (7, ["kind"])):
+        exact = {tuple(r)[:-1]: r["users"] for r in tables.rolling_users(log, length, by).collect()}
+        assert exact == plain(length, bool(by))
+        sketches = tables.user_sketches(log, ["kind"])
+        near = {tuple(r)[:-1]: r["users"] for r in tables.users_of(sketches, length, by).collect()}
+        assert near.keys() == exact.keys()
+        assert all(abs(near[k] - n) <= max(2, 0.08 * n) for k, n in exact.items())
+    assert tables.rolling_users(log.limit(0), 7).collect() == []
