@@ -338,6 +338,26 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.withColumn("changed", F.array_join("changed", ","))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of the orders over three versions, the last of which has all of them."""
+    orders = read_table(spark, sf_dir, "orders")
+    versions = [*_order_versions(spark, sf_dir), orders]
+    named = [df.withColumn("snapshot", F.lit(f"v{k}")) for k, df in enumerate(versions, start=1)]
+    return snapshots.key_history(named[0].unionByName(named[1]).unionByName(named[2]), ["o_orderkey"], "snapshot")
+
+
+def key_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir)
+
+
+def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with the status that their order had in the second version."""
+    lines = read_table(spark, sf_dir, "lineitem").withColumn("asked", F.lit("v2"))
+    lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "asked")
+    history = _history(spark, sf_dir).select("o_orderkey", "o_orderstatus", "valid_from", "valid_to")
+    return snapshots.as_of(lines, history, ["o_orderkey"], "asked")
+
+
 def read_newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/snapshots_{uuid4().hex}"
     versions = ("2025-05-01", "2025-05-02_v2")
@@ -424,6 +444,8 @@ QUERIES = (
     table_differences,
     latest,
     snapshot_diff,
+    key_history,
+    as_of,
     read_newest_snapshot,
     staged_analysis,
     fingerprint,

@@ -75,3 +75,66 @@ def _aligned(df: DataFrame, other: DataFrame) -> DataFrame:
     df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     maps = [c for c, kind in df.dtypes if kind.startswith("map")]
     return df.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps})
+
+
+def key_history(versions: DataFrame, key: Sequence[str], version: str) -> DataFrame:
+    """The states of each key and the versions between which it held them.
+
+    `versions` holds the rows of all versions of a table, told apart by the column `version`. Returns
+    the table's columns with valid_from, the first version of a state, and valid_to, the first version
+    that no longer has it, null while it lasts. The same state in versions that follow each
+    other is one row; a key that was gone for a version has a row before and one after.
+    A key that a version holds twice with different values is an error; repeated rows are one.
+
+    One shuffle by key. The list of versions, one row each, is joined to the rows.
+    """
+    values = [c for c in versions.columns if c != version]
+    names = versions.select(version).distinct()
+    ordered = Window.orderBy(version)
+    # One row per version.
+    numbers = names.select(
+        version,
+        F.row_number().over(ordered).alias("__number"),
+        F.lead(version).over(ordered).alias("__after"),
+    )
+    kinds = dict(versions.dtypes)
+    state = F.md5(
+        F.to_json(
+            F.struct(
+                *[
+                    (F.array_sort(F.map_entries(c)) if kinds[c].startswith("map") else F.col(c)).alias(c)
+                    for c in values
+                ]
+            ),
+            {"ignoreNullFields": "false"},
+        )
+    )
+    rows = versions.join(numbers, version).withColumn("__state", state)
+    timeline = Window.partitionBy(*key).orderBy("__number")
+    before = F.lag(F.struct("__number", "__state")).over(timeline)
+    twice = (before["__number"] == F.col("__number")) & (before["__state"] != F.col("__state"))
+    clash = F.raise_error(F.concat(F.lit("a version holds a key twice: "), F.to_json(F.struct(*key))))
+    goes_on = (before["__number"] >= F.col("__number") - 1) & (before["__state"] == F.col("__state"))
+    begins = F.when(twice, clash.cast("boolean")).otherwise(F.coalesce(~goes_on, F.lit(True)))
+    running = timeline.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__begins", begins)
+    rows = rows.withColumn("__stretch", F.count(F.when(F.col("__begins"), 1)).over(running))
+    held = [F.first(c).alias(c) for c in values if c not in key]
+    return (
+        rows.groupBy(*key, "__stretch")
+        .agg(*held, F.min(version).alias("valid_from"), F.max_by("__after", "__number").alias("valid_to"))
+        .select(*values, "valid_from", "valid_to")
+    )
+
+
+def as_of(df: DataFrame, history: DataFrame, key: Sequence[str], when: str) -> DataFrame:
+    """The rows of `df` with the state that their key had as of their column `when`.
+
+    A join on the key within the bounds valid_from (included) and valid_to (not included). Rows whose
+    key had no state then keep nulls. `df` may have other columns only if the history does not.
+    """
+    states = history.withColumnsRenamed({k: f"__{k}" for k in key})
+    holds = (F.col("valid_from") <= df[when]) & (F.col("valid_to").isNull() | (df[when] < F.col("valid_to")))
+    for k in key:
+        holds = holds & (df[k] == states[f"__{k}"])
+    return df.join(states, holds, "left").drop(*[f"__{k}" for k in key])

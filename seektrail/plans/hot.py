@@ -66,16 +66,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
 
 
 def hot_table(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
-    """Hot keys as columns `hot_<key>`, and `salts`, the number of tasks each one calls for.
-
-    It has at most MAX_HOT_KEYS rows and is marked for broadcast.
-    """
-    limit = hot_rows(df.sparkSession)
-    schema = T.StructType(
-        [T.StructField(f"hot_{k}", df.schema[k].dataType) for k in keys]
-        + [T.StructField("salts", T.IntegerType())]
-    )
-    rows = [(*(row[k] for k in keys), row["rows"] // limit + 1) for row in hot]
+    """Hot keys as columns `hot_<key>`. At most MAX_HOT_KEYS rows, marked for broadcast."""
+    schema = T.StructType([T.StructField(f"hot_{k}", df.schema[k].dataType) for k in keys])
+    rows = [tuple(row[k] for k in keys) for row in hot]
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
@@ -97,11 +90,10 @@ def join_parent(
 ) -> DataFrame:
     """Join many child rows to the at most one parent row of their key.
 
-    `how` is inner, left, left_semi or left_anti. Child rows of a hot key are dealt out over
-    several salts by the task that holds them, which stays the same when a task is repeated,
-    and the parent row is copied to each salt. Null keys, which find no parent, are dealt out
-    alike. Hot keys are looked for in `counted`, a table that holds the same keys but is cheaper
-    to compute than `child`, if there is one.
+    `how` is inner, left, left_semi or left_anti. Child rows of a hot key, null included, stay where
+    they are, however the child is laid out: the parent rows of hot keys, at most MAX_HOT_KEYS, are
+    sent to them. All other rows are shuffled by key. Hot keys are looked for in `counted`, a table
+    that holds the same keys but is cheaper to compute than `child`, if there is one.
     """
     keys = list(keys)
     hot = hot_keys(child if counted is None else counted, keys)
@@ -109,19 +101,12 @@ def join_parent(
         return child.join(parent, keys, how)
     table = hot_table(child, keys, hot)
     is_hot = null_safe([(k, f"hot_{k}") for k in keys])
-    salts = F.coalesce("salts", F.lit(1))
-    helpers = [f"hot_{k}" for k in keys] + ["salts"]
-    salted_child = (
-        child.join(table, is_hot, "left")
-        .withColumn("salt", F.spark_partition_id() % salts)
-        .drop(*helpers)
-    )
-    salted_parent = (
-        parent.join(table, is_hot, "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop(*helpers)
-    )
-    return salted_child.join(salted_parent, [*keys, "salt"], how).drop("salt")
+    own = parent.join(table, is_hot, "left_semi")
+    if how in ("left_semi", "left_anti"):
+        own = own.select(*keys).distinct()
+    own = F.broadcast(own)
+    stay = child.join(table, is_hot, "left_semi").join(own, keys, how)
+    return child.join(table, is_hot, "left_anti").join(parent, keys, how).unionByName(stay)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seektrail.functions.hashing import fingerprint
 from seektrail.operators.reduction import assert_same
-from seektrail.operators.snapshots import latest, snapshot_diff
+from seektrail.operators.snapshots import as_of, key_history, latest, snapshot_diff
 from seektrail.plans.stages import run_stages, stage_fingerprints
 from seektrail.sources.model import SEARCH_LOG_SCHEMA
 from seektrail.sources.snapshots import read_snapshot, versions, write_snapshot
@@ -201,3 +201,29 @@ def test_changed_code_and_a_half_written_stage_are_run_again(spark, tmp_path):
     empty = spark.createDataFrame([], "made_from string, schema string")
     empty.write.mode("overwrite").parquet(f"{tmp_path}/manifests/01_rows")
     assert run(3) == ([6, 9], ["rows", "scaled"])
+
+
+def test_history_of_keys(spark):
+    states = {
+        "v1": {1: "a", 2: "x", 3: None, 5: "e"},
+        "v2": {1: "a", 2: "y", 3: None},
+        "v3": {1: "b", 4: "n", 3: "", 5: "e"},
+        "v4": {1: "a", 4: "n", 3: "", 5: "e"},
+    }
+    rows = [(v, k, a) for v, table in states.items() for k, a in table.items()]
+    df = spark.createDataFrame([*rows, rows[0]], "snapshot string, k int, a string").repartition(3)
+    history = key_history(df, ["k"], "snapshot")
+    assert set(map(tuple, history.collect())) == {
+        (1, "a", "v1", "v3"), (1, "b", "v3", "v4"), (1, "a", "v4", None), (2, "x", "v1", "v2"), (2, "y", "v2", "v3"),
+        (3, None, "v1", "v3"), (3, "", "v3", None), (4, "n", "v3", None), (5, "e", "v1", "v2"), (5, "e", "v3", None),
+    }
+    asked = spark.createDataFrame([(k, v) for k in range(1, 7) for v in states], "k int, at string")
+    found = {(r["k"], r["at"]): (r["a"], r["valid_from"] is not None) for r in as_of(asked, history, ["k"], "at").collect()}
+    assert found == {(k, v): (states[v].get(k), k in states[v]) for k in range(1, 7) for v in states}
+    assert key_history(df.limit(0), ["k"], "snapshot").collect() == []
+
+
+def test_a_version_with_a_key_twice_has_no_history(spark):
+    df = spark.createDataFrame([("v1", 1, "a"), ("v1", 1, "b")], "snapshot string, k int, a string")
+    with pytest.raises(PySparkException):
+        key_history(df, ["k"], "snapshot").collect()
