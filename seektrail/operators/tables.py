@@ -201,21 +201,16 @@ def clustered_comparison(
     difference = F.try_divide("hits_a", "n_a") - F.try_divide("hits_b", "n_b")
     drawn = poisson_replicates(each, "__c", [*counted], replicates, seed)
     drawn = drawn.select(difference.alias("d")).filter("d is not null")
+    whole = each.agg(F.count(F.lit(1)).alias("clusters"), *[F.sum(c).alias(c) for c in counted])
+    whole = whole.select("clusters", difference.alias("difference"))
     tail = (1 - level) / 2
-    # One row per replicate.
-    spread = drawn.agg(
-        F.count(F.lit(1)).alias("replicates"),
+    side = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
+    # One row per replicate, and one of the whole.
+    return drawn.unionByName(whole, allowMissingColumns=True).agg(
+        F.max("clusters").alias("clusters"),
+        F.max("difference").alias("difference"),
         F.percentile("d", tail).alias("low"),
         F.percentile("d", 1 - tail).alias("high"),
-        F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))).alias("side"),
-    )
-    whole = each.agg(F.count(F.lit(1)).alias("clusters"), *[F.sum(c).alias(c) for c in counted])
-    # Both sides are one row.
-    return whole.crossJoin(spread).select(
-        "clusters",
-        difference.alias("difference"),
-        "low",
-        "high",
-        F.when(F.col("side").isNotNull(), F.least(2 * F.col("side"), F.lit(1.0))).alias("p_value"),
-        "replicates",
+        F.when(side.isNotNull(), F.least(2 * side, F.lit(1.0))).alias("p_value"),
+        F.count("d").alias("replicates"),
     )
