@@ -19,6 +19,7 @@ from seektrail.functions.conditions import no_result, step
 from seektrail.functions.hashing import fingerprint as table_fingerprint
 from seektrail.operators import (
     behaviour,
+    discovery,
     journeys,
     privacy,
     quality,
@@ -28,7 +29,7 @@ from seektrail.operators import (
     snapshots,
     tables,
 )
-from seektrail.plans.hot import shared_dir
+from seektrail.plans.hot import shared_dir, stored
 from seektrail.plans.stages import run_stages
 from seektrail.sources.model import FOREIGN_KEYS, SCHEMAS
 from seektrail.sources.snapshots import read_snapshot, write_snapshot
@@ -216,6 +217,29 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_keys(lines, ["l_orderkey", "l_linenumber"])
 
 
+def minimal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of up to three columns of orders, and of up to two of lineitem."""
+    found = [
+        discovery.minimal_keys(read_table(spark, sf_dir, name), largest=largest).withColumn("table", F.lit(name))
+        for name, largest in (("orders", 3), ("lineitem", 2))
+    ]
+    return found[0].unionByName(found[1]).select("table", F.array_join("columns", ",").alias("columns"))
+
+
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows from what in the lines with their orders, customers and nations."""
+    t = _tables(spark, sf_dir, "lineitem", "orders", "customer", "nation")
+    wide = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    wide = wide.join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    wide = wide.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    columns = (
+        "l_orderkey", "l_suppkey", "o_custkey", "o_orderdate", "c_nationkey", "c_mktsegment", "n_name",
+        "n_regionkey",
+    )
+    wide = stored(wide.select(*columns), "wide")
+    return discovery.dependencies(wide, largest=2).withColumn("columns", F.array_join("columns", ","))
+
+
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir, "documents", "labels")
     documents = t["documents"].select("doc_id", "lang", "source")
@@ -424,6 +448,8 @@ QUERIES = (
     quality_report,
     row_rules,
     duplicate_keys,
+    minimal_keys,
+    dependencies,
     orphans,
     time_order,
     quarantine_valid,

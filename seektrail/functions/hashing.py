@@ -36,7 +36,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     text, number, date and the like are hashed as Spark prints them.
     """
     kinds = dict(df.dtypes)
-    text = [F.coalesce(_escaped(c, kinds[c]), F.lit(NULL_MARK)) for c in columns or df.columns]
+    text = [F.coalesce(as_text(c, kinds[c]), F.lit(NULL_MARK)) for c in columns or df.columns]
     digest = F.md5(F.concat_ws(SEPARATOR, *text))
     words = df.select(
         _hex_word(digest, 1).cast("bigint").alias("word_1"),
@@ -49,7 +49,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def _escaped(column: str, kind: str) -> Column:
+def as_text(column: str, kind: str) -> Column:
     """Text in which neither the null mark nor the separator can occur."""
     if kind.startswith("map"):  # equal maps may list their entries in another order
         text = F.array_sort(F.map_entries(column)).cast("string")
