@@ -52,13 +52,20 @@ def targets(
     return table.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _divisor(votes: Column, seats: Column) -> Column:
-    """The largest divisor by which rounding the votes gives too few seats or just enough."""
+def _rounded(votes: Column, divisor: Column, most: Column) -> Column:
+    return F.floor(F.least(votes / divisor + 0.5, most.cast("double")))
+
+
+def _divisor(classes: Column, seats: Column) -> Column:
+    """A divisor by which rounding the votes, up to the most, gives too few seats or just enough."""
 
     def given(d: Column) -> Column:
-        return F.aggregate(votes, F.lit(0.0), lambda a, v: a + F.floor(v / d + 0.5))
+        return F.aggregate(
+            classes, F.lit(0.0), lambda a, c: a + c["cells"] * _rounded(c["votes"], d, c["most"])
+        )
 
-    start = F.struct(F.lit(0.0).alias("low"), (2 * F.array_max(votes) + 1).alias("high"))
+    highest = F.aggregate(classes, F.lit(0.0), lambda a, c: F.greatest(a, c["votes"]))
+    start = F.struct(F.lit(0.0).alias("low"), (2 * highest + 1).alias("high"))
 
     def halve(state: Column, _: Column) -> Column:
         middle = (state["low"] + state["high"]) / 2
@@ -77,20 +84,34 @@ def sainte_lague(cells: DataFrame, group: Sequence[str], order: Sequence[Column]
     Within a group of cells all `seats_in_all` (equal in each of its rows) are given out, none
     of them to a cell that has its `most`. Equal quotients are served in the given order. A divisor that
     leaves at most the tied seats is found by halving; those go by the next quotient.
+
+    Cells with equal votes and most are a class, counted before anything is shuffled, and the divisor
+    is found once per group from its classes: votes that are multiples of whole blocks have as many
+    classes as numbers of blocks differ, however many cells there are. Cells are
+    ordered only among those with equal next quotients.
     """
-    per = Window.partitionBy(*group)
-    divisor = _divisor(F.collect_list("votes").over(per), F.col("seats_in_all"))
-    cells = cells.withColumn("divisor", divisor)
-    base = F.least(F.floor(F.col("votes") / F.col("divisor") + 0.5), F.col("most"))
-    cells = cells.withColumn("seats", F.coalesce(base, F.lit(0)).cast("bigint"))
-    room = F.when(F.col("seats") < F.col("most"), F.col("votes") / (2 * F.col("seats") + 1))
-    ranked = Window.partitionBy(*group).orderBy(F.desc_nulls_last(room), *order)
-    missing = F.col("seats_in_all") - F.sum("seats").over(per)
-    cells = cells.withColumn("missing", missing).withColumn("place", F.row_number().over(ranked))
-    extra = (F.col("place") <= F.col("missing")) & room.isNotNull()
-    return cells.withColumn("seats", F.col("seats") + extra.cast("bigint")).drop(
-        "divisor", "missing", "place"
+    group = list(group)
+    classes = cells.groupBy(*group, "votes", "most").agg(
+        F.count(F.lit(1)).alias("cells"), F.max("seats_in_all").alias("in_all")
     )
+    each = F.collect_list(F.struct("votes", "most", "cells"))
+    groups = classes.groupBy(*group).agg(each.alias("classes"), F.max("in_all").alias("in_all"))
+    groups = groups.withColumn("divisor", _divisor(F.col("classes"), F.col("in_all")))
+    classes = groups.select(*group, "in_all", "divisor", F.inline("classes"))
+    base = _rounded(F.col("votes"), F.col("divisor"), F.col("most"))
+    classes = classes.withColumn("seats", F.coalesce(base, F.lit(0)).cast("bigint"))
+    room = F.when(F.col("seats") < F.col("most"), F.col("votes") / (2 * F.col("seats") + 1))
+    missing = F.col("in_all") - F.sum(F.col("cells") * F.col("seats")).over(Window.partitionBy(*group))
+    classes = classes.withColumn("room", room).withColumn("missing", missing)
+    # The cells that come before those with this next quotient; equal quotients are peers.
+    upto = F.sum("cells").over(Window.partitionBy(*group).orderBy(F.desc_nulls_last("room")))
+    before = upto - F.sum("cells").over(Window.partitionBy(*group, "room"))
+    classes = classes.withColumn("missing", F.col("missing") - before)
+    keys = [*group, "votes", "most"]
+    cells = null_safe_join(cells, classes.select(*keys, "seats", "room", "missing"), keys, "inner")
+    place = F.row_number().over(Window.partitionBy(*group, "room").orderBy(*order))
+    extra = (place <= F.col("missing")) & F.col("room").isNotNull()
+    return cells.withColumn("seats", F.col("seats") + extra.cast("bigint")).drop("room", "missing")
 
 
 def _placed(
@@ -119,6 +140,7 @@ def _placed(
     )
     blocks = F.when(F.col("line") > 0, F.greatest(F.round(F.col("line") / block_words), F.lit(1))).otherwise(0)
     lines = lines.withColumn("blocks", blocks.cast("bigint")).withColumn("most", most * F.col("blocks"))
+    lines = stored(lines, "lines")
     asked = F.col("target") / F.greatest("source_size", F.lit(1))  # times over
     totals = lines.groupBy("source").agg(
         F.sum("most").alias("most"), (F.max(asked) * F.sum("blocks")).alias("votes")
@@ -132,7 +154,7 @@ def _placed(
     lines = sainte_lague(lines, ["source"], [F.col("shard")])
     from_block = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("blocks", F.lit(1)))
     lines = lines.select("source", "shard", "line", "blocks", "seats", from_block.alias("from_block"))
-    lines = stored(lines, "lines")
+    lines = stored(lines, "quotas")
     along = Window.partitionBy("source", "shard").orderBy("dice", "doc_id", "size")
     start = F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = null_safe_join(dealt.withColumn("start", start), lines, ["source", "shard"], "inner")

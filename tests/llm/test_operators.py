@@ -452,6 +452,27 @@ def test_sainte_lague_gives_highest_quotients(spark):
     assert {r["p"]: r["seats"] for r in found} == {p: Counter(q[1] for q in quotients)[p] for p in votes}
 
 
+def test_sainte_lague_with_ties_and_limits_per_group(spark):
+    random = np.random.default_rng(4)
+    cells, expected = [], {}
+    for group in ("x", "y", None):
+        votes = [float(v) for v in random.integers(0, 6, 40) * 3]
+        most = [int(m) for m in random.integers(2, 5, 40)]
+        seats = {"x": 30, "y": 77, None: 0}[group]
+        quotients = sorted((-v / (2 * k + 1), p) for p, v in enumerate(votes) for k in range(seats + 1) if v)
+        given = Counter()
+        for _, p in quotients:
+            if sum(given.values()) < seats and given[p] < most[p]:
+                given[p] += 1
+        cells += [(group, p, votes[p], float(seats), most[p]) for p in range(40)]
+        expected |= {(group, p): given[p] for p in range(40)}
+    df = spark.createDataFrame(cells, "g string, p int, votes double, seats_in_all double, most bigint")
+    found = mixing.sainte_lague(df.repartition(7), ["g"], [F.col("p")])
+    assert {(r["g"], r["p"]): r["seats"] for r in found.collect()} == expected
+    assert mixing.sainte_lague(df.limit(0), ["g"], [F.col("p")]).count() == 0
+    assert mixing.sainte_lague(df.limit(0), [], [F.col("p")]).count() == 0
+
+
 def test_url_rules_and_verdicts(spark):
     rows = [
         (1, "HTTP://WWW.Example.COM/en/x?q"), (2, "http://a.example.com/en/"), (3, "https://b.com"),
