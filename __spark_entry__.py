@@ -31,6 +31,8 @@ from seektrail.operators import (
 )
 from seektrail.plans.hot import shared_dir, stored
 from seektrail.plans.stages import run_stages
+from seektrail.sources.hash_trees import changed_rows as changed_in_buckets
+from seektrail.sources.hash_trees import write_hashed
 from seektrail.sources.model import FOREIGN_KEYS, SCHEMAS
 from seektrail.sources.snapshots import read_snapshot, write_snapshot
 from seektrail.sources.tables import read_table, search_log
@@ -390,6 +392,18 @@ def read_newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshot(spark, root, "orders", SCHEMAS["orders"])
 
 
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between two stored versions of the orders, from their buckets that differ."""
+    orders = read_table(spark, sf_dir, "orders")
+    dear = F.when(F.col("o_totalprice") > 495000, "X").otherwise(F.col("o_orderstatus"))
+    old, new = orders.filter("o_totalprice >= 2000"), orders.filter("o_totalprice <= 498000")
+    root = f"{shared_dir(spark)}/hashed_{uuid4().hex}"
+    write_hashed(old, root, "orders", "v1", ["o_orderkey"])
+    write_hashed(new.withColumn("o_orderstatus", dear), root, "orders", "v2", ["o_orderkey"])
+    rows = changed_in_buckets(spark, root, "orders", SCHEMAS["orders"], ["o_orderkey"], "v1", "v2")
+    return rows.withColumn("changed", F.array_join("changed", ","))
+
+
 def staged_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = [
         ("log", lambda t: search_log(t["events"], ("search", "detail"))),
@@ -473,6 +487,7 @@ QUERIES = (
     key_history,
     as_of,
     read_newest_snapshot,
+    changed_rows,
     staged_analysis,
     fingerprint,
 )
