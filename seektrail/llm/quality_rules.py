@@ -17,34 +17,40 @@ from seektrail.plans.hot import stored
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+# Counted for the method only: distinct words, and words of at most three code points.
+MORE = ("n_distinct", "n_short")
 # Steps, lowest level and number of levels of the grid on which the transformed statistics are
 # counted; what lies outside counts in the outermost level. A group has at most the product of the
-# levels as cells, 311,040, however many documents it has.
-STEPS = (0.5, 0.05, 0.25, 0.02, 0.06)
-LOWEST = (2, 22, 0, 0, 0)
-LEVELS = (20, 24, 12, 6, 9)
-# Smallest standard deviation of each statistic: documents are no outliers of a group for
-# differences this small, however alike the rest of the group is. Those of the two repetition
-# statistics are one line and one window of three words in a document of 50 words, the shortest
-# that passes the base rule: they cannot be told more finely there.
-FLOORS = (0.7, 0.08, 0.25, 1 / 50, 3 / 50)
-# Squared distance beyond which a document is rejected. A chi-square with five degrees of freedom
-# exceeds it with a chance of one in a million.
-CUTOFF = 35.9
+# levels as cells, 240,000, however many documents it has.
+STEPS = (0.8, 0.08, 0.08, 0.12, 0.8, 0.06)
+LOWEST = (4, 15, 3, -9, 0, 0)
+LEVELS = (10, 12, 10, 10, 5, 4)
+# Differences that count as none in a statistic that is constant in a group, as symbols and repeats
+# are in clean text: it has no variance to estimate. A statistic is constant if half of the
+# group's documents lie within a tenth of this around the median; all others are left to the estimate.
+TOLERANCES = (0.7, 0.08, 0.08, 0.1, 0.25, 0.035)
+# Squared distance beyond which a document is rejected, once distances are scaled so that three
+# quarters of the group's documents lie as a chi-square's do. The tails are longer than a
+# chi-square's, as means over few words vary more than those of the group's usual lengths.
+CUTOFF = 90.0
 # Documents that a group's own estimate takes; smaller groups use that of the language, then all.
 LEAST = 200
 # The share of documents that the minimum-covariance-determinant estimate rests on.
 COVERAGE = 0.75
 STARTS = 8
+# Added to each variance, as a share of it, so that matrices can be inverted.
+RIDGE = 0.001
 _P = len(STEPS)
-_HALF, _MOST = 4.351, 12.833  # chi-square quantiles, five degrees of freedom: 0.5 and 0.975
+# Chi-square quantiles 0.75 and 0.975 for one to six degrees of freedom.
+_MOST_OF = (1.323, 2.773, 4.108, 5.385, 6.626, 7.841)
+_NEARLY_ALL = (5.024, 7.378, 9.348, 11.143, 12.833, 14.449)
 
 
 def _statistics(text: str) -> tuple[int, ...]:
-    """The five counts of one whole text."""
+    """The five counts of one whole text, and the two that only the method takes."""
     data = text.encode()
     words = data.split()  # at the space and the characters from tab to carriage return
-    chars = sum(map(len, words)) if data.isascii() else sum(len(w.decode()) for w in words)
+    lengths = [len(w) for w in words] if data.isascii() else [len(w.decode()) for w in words]
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     seen: set[bytes] = set()
     again = 0
@@ -61,21 +67,22 @@ def _statistics(text: str) -> tuple[int, ...]:
             if counts[triple] > 1:
                 covered += k + 3 - max(k, end)
                 end = k + 3
-    return len(words), chars, symbols, again, covered
+    short = sum(n <= 3 for n in lengths)
+    return len(words), sum(lengths), symbols, again, covered, len(set(words)), short
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in in_pieces(batches, "text"):
         values = [_statistics(text or "") for text in piece["text"].to_pylist()]
-        columns = np.array(values, np.int64).reshape(-1, len(COUNTS)).T
+        columns = np.array(values, np.int64).reshape(-1, len(COUNTS + MORE)).T
         kept = {c: piece[c] for c in piece.schema.names}
-        counts = pa.StructArray.from_arrays([pa.array(c) for c in columns], list(COUNTS))
+        counts = pa.StructArray.from_arrays([pa.array(c) for c in columns], list(COUNTS + MORE))
         yield pa.record_batch(kept | {"__q": counts})
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """All columns, and `__q` with the five counts of the whole text (null: none of anything)."""
-    counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    """All columns, and `__q` with the counts of the whole text (null: none of anything)."""
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS + MORE])
     schema = T.StructType([*docs.schema.fields, T.StructField("__q", counts)])
     return docs.mapInArrow(_count, schema)
 
@@ -91,9 +98,10 @@ def transformed() -> list[Column]:
     return [
         F.log1p("__q.n_words"),
         F.log(F.greatest(F.col("__q.word_chars") / words, F.lit(0.05))),
+        F.asin(F.sqrt(F.col("__q.n_short") / words)),
+        F.log(F.greatest(F.col("__q.n_distinct"), F.lit(1)) / words),
         F.log1p(100 * F.col("__q.n_symbols") / words),
-        F.col("__q.n_dup_lines") / words,
-        F.col("__q.n_repeat_words") / words,
+        F.greatest(F.col("__q.n_repeat_words"), 3 * F.col("__q.n_dup_lines")) / words,
     ]
 
 
@@ -120,22 +128,26 @@ def _weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return values[order][np.searchsorted(np.cumsum(weights[order]), share * weights.sum())]
 
 
+def _ridged(cov: np.ndarray, tolerances: np.ndarray) -> np.ndarray:
+    return cov + np.diag(RIDGE * np.diag(cov) + (tolerances / 1000) ** 2)
+
+
 def minimum_covariance(
-    n: np.ndarray, s: np.ndarray, q: np.ndarray, floors: np.ndarray, coverage: float = COVERAGE
+    n: np.ndarray, s: np.ndarray, q: np.ndarray, tolerances: np.ndarray, coverage: float = COVERAGE
 ) -> tuple[np.ndarray, np.ndarray]:
     """Reweighted minimum-covariance-determinant estimate from the cells of one group.
 
     A cell has its number of documents, their sums and sums of products, so the mean and covariance
     of any set of cells is that of their documents. From each of several starts, the nearest cells
     with the wanted share of the documents give the next estimate until it stays the same
-    (concentration steps); the smallest determinant wins. It is scaled to the median
-    distance and computed once more from all documents within the 0.975 quantile.
+    (concentration steps); the smallest determinant wins. It is scaled to the distances of the
+    covered share, computed once more from all documents within the 0.975 quantile, and scaled again.
+    Constant statistics have their tolerance as deviation and go with no other.
     """
-    x, ridge = s / n[:, None], np.diag((floors / 10) ** 2)
-    total = n.sum()
+    x, total = s / n[:, None], n.sum()
     middle = np.array([_weighted_quantile(x[:, k], n, 0.5) for k in range(_P)])
     spread = np.array([_weighted_quantile(abs(x[:, k] - middle[k]), n, 0.5) for k in range(_P)])
-    starts = [(middle, np.diag(np.maximum(1.4826 * spread, floors) ** 2))]
+    starts = [(middle, np.diag(np.maximum(1.4826 * spread, tolerances / 10) ** 2))]
     random = np.random.default_rng(7)
     for _ in range(STARTS - 1):
         size = min(len(n), 4 * (_P + 1))
@@ -145,22 +157,30 @@ def minimum_covariance(
     for mean, cov in starts:
         chosen = None
         for _ in range(50):
-            order = np.argsort(_distances(x, mean, cov + ridge), kind="stable")
+            order = np.argsort(_distances(x, mean, _ridged(cov, tolerances)), kind="stable")
             upto = np.searchsorted(np.cumsum(n[order]), coverage * total) + 1
             now = np.sort(order[:upto])
             if chosen is not None and np.array_equal(now, chosen):
                 break
             chosen = now
             mean, cov = _moments(n[now], s[now], q[now])
-        size = np.linalg.slogdet(cov + ridge)[1]
+        size = np.linalg.slogdet(_ridged(cov, tolerances))[1]
         if best is None or size < best[0] - 1e-12:
             best = size, mean, cov
     _, mean, cov = best
-    distances = _distances(x, mean, cov + ridge)
-    scale = max(1.0, _weighted_quantile(distances, n, 0.5) / _HALF)
-    near = distances <= _MOST * scale
-    mean, cov = _moments(n[near], s[near], q[near])
-    return mean, cov + np.diag(floors**2)
+    varies = spread > tolerances / 10
+    for last in (False, True):
+        cov = np.where(np.outer(varies, varies), cov, 0)
+        free = max(1, int(varies.sum()))
+        cov = _ridged(cov, tolerances)
+        cov[~varies, ~varies] = tolerances[~varies] ** 2
+        distances = _distances(x, mean, cov)
+        scale = max(1.0, _weighted_quantile(distances, n, 0.75) / _MOST_OF[free - 1])
+        cov[np.outer(varies, varies)] *= scale
+        if not last:
+            near = distances <= _NEARLY_ALL[free - 1] * scale
+            mean, cov = _moments(n[near], s[near], q[near])
+    return mean, cov
 
 
 def _estimate(cells: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +188,7 @@ def _estimate(cells: pd.DataFrame) -> pd.DataFrame:
     n = cells["n"].to_numpy(float)
     s = cells[[f"s{k}" for k in range(_P)]].to_numpy(float)
     q = cells[[f"q{i}{j}" for i, j in _pairs()]].to_numpy(float)
-    mean, cov = minimum_covariance(n, s, q, np.array(FLOORS))
+    mean, cov = minimum_covariance(n, s, q, np.array(TOLERANCES))
     white = np.linalg.inv(np.linalg.cholesky(cov))
     return pd.DataFrame({"lang": [cells["lang"].iloc[0]], "source": [cells["source"].iloc[0]],
                          "level": [cells["level"].iloc[0]], "mean": [mean.tolist()],
@@ -229,7 +249,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST) -
     judged = _judged(docs.select("doc_id", "text", "lang", "source"), False, least)
     return judged.select(
         "doc_id",
-        "__q.*",
+        *[f"__q.{c}" for c in COUNTS],
         base_failed().alias("base_failed"),
         F.col("__distance").alias("distance"),
         _passes(cutoff).alias("kept"),

@@ -394,6 +394,47 @@ def test_repeated_lines_are_outliers_of_a_clean_group(spark, width):
     assert [i for i, r in found.items() if not r["kept"]] == [301]
 
 
+def test_estimate_of_a_group_holds_out_its_outliers():
+    random = np.random.default_rng(3)
+    mix = np.eye(6)
+    mix[3, 0] = -0.9
+    clean = random.normal(size=(900, 6)) * 0.2 @ mix.T
+    clean[:, 4:] = 0  # constant, as symbols and repeats are
+    bad = random.normal(size=(100, 6)) * 0.1 + [0, 3, 3, 0, 4, 0]
+    x = np.vstack([clean, bad])
+    pairs = quality_rules._pairs()
+    products = np.stack([x[:, i] * x[:, j] for i, j in pairs], axis=1)
+    mean, cov = quality_rules.minimum_covariance(
+        np.ones(1000), x, products, np.array(quality_rules.TOLERANCES)
+    )
+    assert abs(mean - clean.mean(axis=0)).max() < 0.03
+    plain = np.cov(clean[:, :4].T)
+    assert abs(np.corrcoef(clean[:, :4].T) - cov[:4, :4] / np.sqrt(np.outer(*[np.diag(cov)[:4]] * 2))).max() < 0.05
+    assert (np.diag(cov)[:4] / np.diag(plain) > 0.7).all() and (np.diag(cov)[:4] / np.diag(plain) < 1.5).all()
+    assert np.diag(cov)[4:].tolist() == pytest.approx([t * t for t in quality_rules.TOLERANCES[4:]])
+    distances = quality_rules._distances(x, mean, cov)
+    assert distances[:900].max() < quality_rules.CUTOFF < distances[900:].min()
+
+
+def test_combination_of_statistics_is_rejected_where_each_is_usual(spark):
+    """Of a fixed vocabulary, long texts hold small shares of distinct words and short ones large."""
+    random = np.random.default_rng(5)
+    words = text_of(77, 80).split()
+    sizes = np.exp(random.uniform(np.log(60), np.log(900), 400)).astype(int)
+    rows = [(k, " ".join(random.choice(words, n)), "en", "a") for k, n in enumerate(sizes)]
+    rows.append((400, " ".join(random.choice(words[:20], 70)), "en", "a"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert [i for i, r in found.items() if not r["kept"]] == [400]
+    stats = quality_rules.statistics(df)
+    x = np.array([list(r)[1:] for r in stats.select("doc_id", *quality_rules.transformed()).orderBy("doc_id").collect()])
+    matrix = np.array(quality_rules.robust_estimates(stats).filter("level = 0").first()["white"]).reshape(6, 6)
+    cov = np.linalg.inv(matrix.T @ matrix)
+    mean = np.array(quality_rules.robust_estimates(stats).filter("level = 0").first()["mean"])
+    diagonal = ((x - mean) ** 2 / np.diag(cov)).sum(axis=1)
+    assert diagonal[400] < quality_rules.CUTOFF / 2 < quality_rules.CUTOFF < found[400]["distance"]
+
+
 def test_language_on_held_out_documents(documents, odd):
     marked = language_id.held_out(documents)
     model = language_id.fit(marked.filter("not held_out"))
