@@ -18,6 +18,7 @@ if str(Path(__file__).parent) not in sys.path:
 from seektrail.functions.conditions import no_result, step
 from seektrail.functions.hashing import fingerprint as table_fingerprint
 from seektrail.operators import (
+    anonymity,
     behaviour,
     discovery,
     journeys,
@@ -51,6 +52,9 @@ SALT = "example salt"
 SUBSET = 0.2
 PEOPLE = 1_000
 NATIONS = 0.3
+# What others may know of an order, and how many orders must share it.
+KNOWN = ("c_nationkey", "o_totalprice", "order_day")
+HIDDEN_AMONG = 20
 
 RULES = (
     quality.not_null("orders", "o_custkey"),
@@ -287,6 +291,28 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pii_mask(documents, "text")
 
 
+def _known_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir, "orders", "customer")
+    orders = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    return orders.select("c_nationkey", "o_totalprice", day.alias("order_day"), "o_orderpriority")
+
+
+def anonymous_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are not told apart by nation, price and day, in classes of at least 20."""
+    return anonymity.anonymous_classes(_known_orders(spark, sf_dir), KNOWN, "o_orderpriority", HIDDEN_AMONG)
+
+
+def anonymity_before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest classes and fewest priorities in one, as the orders are and generalised."""
+    orders = _known_orders(spark, sf_dir)
+    hidden = anonymity.generalize(orders, KNOWN, "o_orderpriority", HIDDEN_AMONG)
+    limits = [f"{c}_{end}" for c in KNOWN for end in ("from", "to")]
+    before = anonymity.anonymity(orders, KNOWN, "o_orderpriority").withColumn("stage", F.lit("before"))
+    after = anonymity.anonymity(hidden, limits, "o_orderpriority").withColumn("stage", F.lit("after"))
+    return before.unionByName(after)
+
+
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduction.column_profile(_fixed_text(read_table(spark, sf_dir, "orders")))
 
@@ -472,6 +498,8 @@ QUERIES = (
     pii_scan,
     pii_mask,
     pii_report,
+    anonymous_classes,
+    anonymity_before_and_after,
     column_profile,
     referential_subset,
     referential_subset_orders,
