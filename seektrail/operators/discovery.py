@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seektrail.functions.hashing import NULL_MARK, SEPARATOR, as_text
+from seektrail.functions.hashing import PLAIN_TYPES, as_text
 
 RESULT = "columns array<string>, determines array<string>"
+# About so many rows are looked at per set of columns before all rows are.
+SLICE_ROWS = 1_000_000
 
 
 def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, largest: int = 3) -> DataFrame:
@@ -18,11 +21,12 @@ def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, largest: i
 
     Returns `columns`, each set in the table's order; a table of one row has the empty set as its key,
     an empty table has no keys. Nulls are equal to each other, as in grouping, and so are 0.0 and -0.0. Runs jobs
-    while it is called, one per level; see `_Lattice`.
+    while it is called, at most two per level, in which `df` is read once per set: store it first if it is
+    dear to compute. See `_Lattice`.
     """
     lattice = _Lattice(df, columns, largest)
     for level in range(1, largest + 1):
-        lattice.count_level(level)
+        lattice.check_level(level, determined=False)
     keys = [(lattice.in_order(key), None) for key in lattice.keys]
     return df.sparkSession.createDataFrame(keys, RESULT).select("columns")
 
@@ -34,25 +38,25 @@ def dependencies(df: DataFrame, columns: Sequence[str] | None = None, largest: i
     in the set. Only sets of which no part determines the column are
     returned, and none that hold a key, which determine everything. A constant column follows from
     the empty set. An empty table has no dependencies, nor has one of a single row, whose key is the
-    empty set. Nulls are equal to each other, as in grouping. Runs jobs while called.
+    empty set. Nulls are equal to each other, as in grouping. Runs jobs while called, as `minimal_keys` does.
     """
     lattice = _Lattice(df, columns, largest)
-    for level in range(1, largest + 2):
-        lattice.count_level(level)
-    found = [(lattice.in_order(s), [c]) for s, c in lattice.dependencies if len(s) <= largest]
+    for level in range(largest + 1):
+        lattice.check_level(level)
+    found = [(lattice.in_order(s), [c]) for s, c in lattice.dependencies]
     table = df.sparkSession.createDataFrame(found, RESULT)
     return table.select("columns", F.col("determines")[0].alias("determines"))
 
 
 class _Lattice:
-    """Numbers of classes of rows that are equal in a set of columns, for ever larger sets.
-
-    Adding a column to a set refines its classes: the column follows from the set if there are no
-    more of them than before, and a set is a key if there are as many as rows. All sets of a level
-    are counted in one aggregation, which takes a digest of 128 bits per row and set, combined
-    within tasks before it is shuffled, so neither wide nor frequent values weigh on it; only one number per set
-    comes back. Sets that hold a key are not counted, nor are those that hold a column which
-    follows from others of the set: they have as many classes as the set without it.
+    """Claims about ever larger sets of columns: no two rows are equal in a set, or all that are have one value.
+
+    Two rows refute a claim, wherever they are found. So each set is first looked at in a slice of its
+    classes, those whose hash divides evenly by the number of slices: rows equal in the set are in the slice
+    together or not at all. Only what a slice of about SLICE_ROWS rows does not refute is looked at
+    in all rows, and nothing holds that was not. A set is one aggregation by its columns, combined within tasks
+    before it is shuffled, so frequent values do not weigh on it; one row per set comes back. Sets that hold
+    a key are not looked at, nor are those that hold a column which follows from others of the set.
     """
 
     def __init__(self, df: DataFrame, columns: Sequence[str] | None, largest: int):
@@ -62,61 +66,98 @@ class _Lattice:
         self.kinds = dict(df.select(*self.columns).dtypes)
         self.df = df
         self.rows = df.count()
-        self.classes: dict[frozenset[str], int] = {frozenset(): min(self.rows, 1)}
         self.keys: list[frozenset[str]] = [frozenset()] if self.rows == 1 else []
         self.dependencies: list[tuple[frozenset[str], str]] = []
 
     def in_order(self, columns: frozenset[str]) -> list[str]:
         return [c for c in self.columns if c in columns]
 
-    def count_level(self, level: int) -> None:
-        """Count the sets of `level` columns, then look for keys and what smaller sets determine."""
+    def check_level(self, level: int, determined: bool = True) -> None:
+        """Look for keys of `level` columns and, if wanted, for what such sets determine."""
         if not self.rows:
             return
-        sets = [frozenset(s) for s in combinations(self.columns, level)]
-        sets = [s for s in sets if not self._holds_key(s) and self._reduced(s) == s]
-        if sets:
-            self.classes |= self._counted(sets)
-        known = list(self.dependencies)
-        for columns in combinations(self.columns, level - 1):
-            smaller = frozenset(columns)
-            if self._holds_key(smaller) or self._reduced(smaller, known) != smaller:
+        claims = {}
+        for columns in map(frozenset, combinations(self.columns, level)):
+            if self._holds_key(columns) or self._reduces(columns):
                 continue
-            for column in self.columns:
-                follows = any(c == column and s <= smaller for s, c in known)
-                if column in smaller or follows:
-                    continue
-                larger = smaller | {column}
-                refined = self.rows if self._holds_key(larger) else self.classes[self._reduced(larger, known)]
-                if refined == self.classes[smaller]:
-                    self.dependencies.append((smaller, column))
-        self.keys += [s for s in sets if self.classes[s] == self.rows]
+            others = [c for c in self.columns if determined and c not in columns and not self._follows(columns, c)]
+            claims[columns] = (True, others)
+        slices = max(1, self.rows // SLICE_ROWS)
+        if slices > 1:
+            claims = self._unrefuted(claims, slices)
+        for columns, (is_key, others) in self._unrefuted(claims, 1).items():
+            if is_key:
+                self.keys.append(columns)
+            else:
+                self.dependencies += [(columns, c) for c in others]
 
     def _holds_key(self, columns: frozenset[str]) -> bool:
         return any(key <= columns for key in self.keys)
 
-    def _reduced(self, columns: frozenset[str], known: list | None = None) -> frozenset[str]:
-        """The columns without those that follow from the others: as many classes."""
-        for smaller, column in self.dependencies if known is None else known:
-            if column in columns and smaller <= columns - {column}:
-                columns = columns - {column}
-        return columns
-
-    def _counted(self, sets: list[frozenset[str]]) -> dict[frozenset[str], int]:
-        texts = {c: F.coalesce(_text(c, self.kinds[c]), F.lit(NULL_MARK)) for c in self.columns}
-        digests = [
-            F.struct(
-                F.lit(k).alias("set"),
-                F.unhex(F.md5(F.concat_ws(SEPARATOR, *[texts[c] for c in self.in_order(s)]))).alias("digest"),
-            )
-            for k, s in enumerate(sets)
-        ]
-        rows = self.df.select(F.inline(F.array(*digests))).distinct()
-        counts = {r["set"]: r["count"] for r in rows.groupBy("set").count().collect()}
-        return {s: counts[k] for k, s in enumerate(sets)}
-
-
-def _text(column: str, kind: str) -> Column:
+    def _follows(self, columns: frozenset[str], column: str) -> bool:
+        return any(c == column and smaller <= columns for smaller, c in self.dependencies)
+
+    def _reduces(self, columns: frozenset[str]) -> bool:
+        """Whether one of the columns follows from the others."""
+        return any(self._follows(columns - {c}, c) for c in columns)
+
+    def _unrefuted(self, claims: dict, slices: int) -> dict:
+        """The claims per set, whether it is a key and what it determines, that one slice does not refute."""
+        if not claims:
+            return {}
+        sets = list(claims)
+        checks = [self._check(k, self.in_order(s), *claims[s], slices) for k, s in enumerate(sets)]
+        left = {}
+        for row in reduce(DataFrame.unionByName, checks).collect():
+            is_key, others = claims[sets[row["set"]]]
+            is_key = is_key and not row["repeated"]
+            others = [c for c, broken in zip(others, row["broken"], strict=True) if not broken]
+            if is_key or others:
+                left[sets[row["set"]]] = (is_key, others)
+        return left
+
+    def _check(self, k: int, columns: list[str], is_key: bool, others: list[str], slices: int) -> DataFrame:
+        """One row: `set`, whether it is `repeated`, and which claims on the other columns are `broken`."""
+        by = [_narrow(c, self.kinds[c]).alias(f"__by{i}") for i, c in enumerate(columns)]
+        values = [_words(c, self.kinds[c]) for c in others]
+        words = [w.alias(f"__{i}_{j}") for i, v in enumerate(values) for j, w in enumerate(v)]
+        rows = self.df.select(*by, *words)
+        names = [f"__by{i}" for i in range(len(columns))]
+        if names and slices > 1:
+            rows = rows.filter(F.pmod(F.xxhash64(*names), F.lit(slices)) == 0)
+        ends = [f(w).alias(f"{w}_{f.__name__}") for w in rows.columns[len(names) :] for f in (F.min, F.max)]
+        known = [F.count(f"__{i}_0").alias(f"__{i}_known") for i in range(len(others))]
+        classes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__rows"), *ends, *known)
+        broken = []
+        for i, v in enumerate(values):
+            differs = [F.col(f"__{i}_{j}_min") != F.col(f"__{i}_{j}_max") for j in range(len(v))]
+            some_null = (F.col(f"__{i}_known") > 0) & (F.col(f"__{i}_known") < F.col("__rows"))
+            broken.append(F.max(reduce(Column.__or__, differs, some_null)))
+        return classes.agg(
+            F.lit(k).alias("set"),
+            F.coalesce(F.max(F.col("__rows") > 1), F.lit(False)).alias("repeated"),
+            F.array(*[F.coalesce(b, F.lit(False)) for b in broken]).cast("array<boolean>").alias("broken"),
+        )
+
+
+def _is_plain(kind: str) -> bool:
+    return kind in PLAIN_TYPES or kind.startswith("decimal")
+
+
+def _narrow(column: str, kind: str) -> Column:
+    """What rows are grouped by: numbers, dates and the like as they are, others in at most 16 bytes."""
     if kind in ("float", "double"):  # the two zeros are one value
-        return (F.col(column) + F.lit(0.0)).cast("string")
-    return as_text(column, kind)
+        return F.col(column) + F.lit(0.0).cast(kind)
+    if _is_plain(kind):
+        return F.col(column)
+    text = F.col(column) if kind == "string" else as_text(column, kind)
+    # A short text cannot be taken for a digest, which has 16 bytes.
+    return F.when(F.octet_length(text) < 16, text.cast("binary")).otherwise(F.unhex(F.md5(text)))
+
+
+def _words(column: str, kind: str) -> list[Column]:
+    """Columns of fixed width that are equal if the values are: the value, or a digest of 128 bits."""
+    value = _narrow(column, kind)
+    if _is_plain(kind):
+        return [value]
+    return [F.when(value.isNotNull(), F.xxhash64(*seed, value)) for seed in ([], [F.lit(1)])]

@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from seektrail.operators import discovery
 from seektrail.operators.discovery import dependencies, minimal_keys
 
 SCHEMA = "a int, b int, c string, d double, e int"
@@ -91,3 +92,37 @@ def test_nulls_zeros_and_separators(spark):
     assert found_keys(df, columns=["a", "d"], largest=2) == set()
     with pytest.raises(ValueError):
         minimal_keys(df, largest=0)
+
+
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    store, none = spark._jsc.sc().statusStore(), gateway.jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_sets_that_a_slice_refutes_are_not_shuffled_whole(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "SLICE_ROWS", 2_000, raising=False)
+    rows = spark.range(40_000).selectExpr("id", *[f"pmod(xxhash64(id, {k}), 4000) AS c{k}" for k in range(6)])
+    rows = rows.withColumn("c6", rows["c0"] % 7).localCheckpoint()
+    before = shuffled(spark)
+    assert found_keys(rows, largest=2) >= {("id",)}
+    assert shuffled(spark) - before < 12 * rows.count()
+
+
+@pytest.mark.parametrize("kind", ["wide", "keyed", "equal", "constant"])
+@pytest.mark.parametrize("size", [3, 12])
+def test_slices_leave_results_as_they_are(spark, monkeypatch, kind, size):
+    monkeypatch.setattr(discovery, "SLICE_ROWS", size, raising=False)
+    rows = table(kind, np.random.default_rng(5))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found_keys(df, largest=3) == plain_keys(rows, 3)
+    assert found_dependencies(df, largest=2) == plain_dependencies(rows, 2)
+
+
+def test_long_texts_maps_and_nulls_are_told_apart(spark):
+    rows = [("x" * 40, {"a": 1}, None), ("x" * 39 + "y", {"a": 2}, "q"), ("x" * 40, {"a": 1}, "q"), ("", {}, None)]
+    df = spark.createDataFrame(rows, "t string, m map<string,int>, n string")
+    assert found_keys(df, largest=2) == {("t", "n"), ("m", "n")}
+    assert found_dependencies(df, largest=1) == {(("t",), "m"), (("m",), "t")}
