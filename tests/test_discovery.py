@@ -111,6 +111,15 @@ def test_sets_that_a_slice_refutes_are_not_shuffled_whole(spark, monkeypatch):
     assert shuffled(spark) - before < 12 * rows.count()
 
 
+def test_determined_columns_of_sets_that_a_slice_refutes(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "SLICE_ROWS", 2_000, raising=False)
+    rows = spark.range(40_000).selectExpr(*[f"pmod(xxhash64(id, {k}), 2000) AS c{k}" for k in range(6)])
+    rows = rows.withColumn("c6", rows["c0"] % 7).localCheckpoint()
+    before = shuffled(spark)
+    assert found_dependencies(rows, largest=1) == {(("c0",), "c6")}
+    assert shuffled(spark) - before < 4 * rows.count()
+
+
 @pytest.mark.parametrize("kind", ["wide", "keyed", "equal", "constant"])
 @pytest.mark.parametrize("size", [3, 12])
 def test_slices_leave_results_as_they_are(spark, monkeypatch, kind, size):
