@@ -59,3 +59,28 @@ def test_hot_cells_and_later_levels_give_the_same(spark, monkeypatch):
     finally:
         spark.conf.unset("seektrail.hotRows")
         hot.forget()
+
+
+@pytest.mark.parametrize("k", [1, 7])
+@pytest.mark.parametrize("levels", [0, 3, 60])
+def test_cut_by_one_task_or_by_all_gives_the_same(spark, monkeypatch, k, levels):
+    often = people(spark, 40).withColumns({"age": F.lit(30), "area": F.lit(2).cast("bigint")})
+    df = people(spark, 300).unionByName(often)
+
+    def classes(most):
+        monkeypatch.setattr(anonymity, "LOCAL_PLACES", most)
+        return sorted(map(tuple, anonymity.anonymous_classes(df, ["age", "area"], "illness", k, levels).collect()), key=str)
+
+    by_all = classes(0)
+    assert classes(20) == by_all
+    assert classes(50_000) == by_all
+
+
+def test_small_classes_are_cut_without_a_job_per_level(spark):
+    spark.sparkContext.setJobGroup("cuts", "cuts")
+    try:
+        found = anonymity.anonymous_classes(people(spark, 2_000), ["age", "area"], "illness", 2).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found > 100
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("cuts")) < 30
