@@ -86,7 +86,8 @@ def key_history(versions: DataFrame, key: Sequence[str], version: str) -> DataFr
     other is one row; a key that was gone for a version has a row before and one after.
     A key that a version holds twice with different values is an error; repeated rows are one.
 
-    One shuffle by key. The list of versions, one row each, is joined to the rows.
+    One shuffle by key. The list of versions, one row each, is sent to the rows, which stay where they are: a
+    version may hold any share of them.
     """
     values = [c for c in versions.columns if c != version]
     names = versions.select(version).distinct()
@@ -109,7 +110,7 @@ def key_history(versions: DataFrame, key: Sequence[str], version: str) -> DataFr
             {"ignoreNullFields": "false"},
         )
     )
-    rows = versions.join(numbers, version).withColumn("__state", state)
+    rows = versions.join(F.broadcast(numbers), version).withColumn("__state", state)
     timeline = Window.partitionBy(*key).orderBy("__number")
     before = F.lag(F.struct("__number", "__state")).over(timeline)
     twice = (before["__number"] == F.col("__number")) & (before["__state"] != F.col("__state"))

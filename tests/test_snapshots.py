@@ -227,3 +227,24 @@ def test_a_version_with_a_key_twice_has_no_history(spark):
     df = spark.createDataFrame([("v1", 1, "a"), ("v1", 1, "b")], "snapshot string, k int, a string")
     with pytest.raises(PySparkException):
         key_history(df, ["k"], "snapshot").collect()
+
+
+def by_version(spark, df):
+    """Shuffles by version in the plan, if tables are too large to be broadcast for their size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plan.count("hashpartitioning(snapshot")
+
+
+def test_states_as_of_do_not_bring_the_rows_of_a_version_together(spark, tmp_path):
+    versions = spark.range(300).selectExpr("concat('v', id % 3) AS snapshot", "id DIV 3 AS k", "id % 7 AS a")
+    versions.write.parquet(f"{tmp_path}/versions")
+    versions = spark.read.parquet(f"{tmp_path}/versions")
+    asked = spark.range(100).selectExpr("id AS k", "'v1' AS at")
+    found = as_of(asked, key_history(versions, ["k"], "snapshot"), ["k"], "at")
+    # The list of versions is made by the only one.
+    assert by_version(spark, found) == 1
+    assert {r["k"]: r["a"] for r in found.collect()} == {k: (3 * k + 1) % 7 for k in range(100)}
