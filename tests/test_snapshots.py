@@ -248,3 +248,11 @@ def test_states_as_of_do_not_bring_the_rows_of_a_version_together(spark, tmp_pat
     # The list of versions is made by the only one.
     assert by_version(spark, found) == 1
     assert {r["k"]: r["a"] for r in found.collect()} == {k: (3 * k + 1) % 7 for k in range(100)}
+
+
+def test_history_does_not_bring_the_rows_of_a_version_together(spark, tmp_path):
+    versions = spark.range(300).selectExpr("concat('v', id % 3) AS snapshot", "id DIV 3 AS k", "'same' AS a")
+    versions.write.parquet(f"{tmp_path}/versions")
+    history = key_history(spark.read.parquet(f"{tmp_path}/versions"), ["k"], "snapshot")
+    assert by_version(spark, history) == 1
+    assert set(map(tuple, history.collect())) == {(k, "same", "v0", None) for k in range(100)}
