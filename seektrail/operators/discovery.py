@@ -14,6 +14,8 @@ from seektrail.functions.hashing import PLAIN_TYPES, as_text
 RESULT = "columns array<string>, determines array<string>"
 # About so many rows are looked at per set of columns before all rows are.
 SLICE_ROWS = 1_000_000
+# Sets that one job looks at: the driver keeps a plan of all of them, anew for each stage that ends.
+SETS_PER_JOB = 10
 
 
 def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, largest: int = 3) -> DataFrame:
@@ -21,8 +23,8 @@ def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, largest: i
 
     Returns `columns`, each set in the table's order; a table of one row has the empty set as its key,
     an empty table has no keys. Nulls are equal to each other, as in grouping, and so are 0.0 and -0.0. Runs jobs
-    while it is called, at most two per level, in which `df` is read once per set: store it first if it is
-    dear to compute. See `_Lattice`.
+    while it is called, two per level and SETS_PER_JOB sets at most, in which `df` is read once per set: store it
+    first if it is dear to compute. See `_Lattice`.
     """
     lattice = _Lattice(df, columns, largest)
     for level in range(1, largest + 1):
@@ -103,12 +105,11 @@ class _Lattice:
 
     def _unrefuted(self, claims: dict, slices: int) -> dict:
         """The claims per set, whether it is a key and what it determines, that one slice does not refute."""
-        if not claims:
-            return {}
         sets = list(claims)
         checks = [self._check(k, self.in_order(s), *claims[s], slices) for k, s in enumerate(sets)]
         left = {}
-        for row in reduce(DataFrame.unionByName, checks).collect():
+        jobs = [checks[k : k + SETS_PER_JOB] for k in range(0, len(checks), SETS_PER_JOB)]
+        for row in (row for job in jobs for row in reduce(DataFrame.unionByName, job).collect()):
             is_key, others = claims[sets[row["set"]]]
             is_key = is_key and not row["repeated"]
             others = [c for c, broken in zip(others, row["broken"], strict=True) if not broken]
