@@ -94,12 +94,16 @@ def test_nulls_zeros_and_separators(spark):
         minimal_keys(df, largest=0)
 
 
-def shuffled(spark):
-    """Rows written to shuffles so far."""
+def stages(spark):
     gateway = spark.sparkContext._gateway
     store, none = spark._jsc.sc().statusStore(), gateway.jvm.java.util.ArrayList()
-    stages = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
-    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+    found = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return [found.apply(k) for k in range(found.size())]
+
+
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    return sum(stage.shuffleWriteRecords() for stage in stages(spark))
 
 
 def test_sets_that_a_slice_refutes_are_not_shuffled_whole(spark, monkeypatch):
@@ -120,6 +124,32 @@ def test_determined_columns_of_sets_that_a_slice_refutes(spark, monkeypatch):
     assert shuffled(spark) - before < 4 * rows.count()
 
 
+def test_the_table_is_not_read_again_for_sets_that_a_slice_refutes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(discovery, "SLICE_ROWS", 500)
+    # Two columns of few values, whose classes no slice of their own holds.
+    values = enumerate([400] * 5 + [2] * 2)
+    rows = spark.range(40_000).selectExpr(*[f"pmod(xxhash64(id, {k}), {n}) AS c{k}" for k, n in values])
+    rows.withColumn("c7", rows["c0"] % 7).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    before = sum(stage.inputRecords() for stage in stages(spark))
+    assert found_dependencies(rows, largest=2) == {(("c0",), "c7")}
+    # 35 sets; slices of 8 columns hold about 4,000 rows.
+    assert sum(stage.inputRecords() for stage in stages(spark)) - before < 10 * rows.count()
+
+
+def test_slices_without_nulls_and_frequent_values_leave_results_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "SLICE_ROWS", 10)
+    rows = [(k if k % 10 == 0 else None, k % 2, None, 0.0, k // 3) for k in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found_keys(df, largest=4) == plain_keys(rows, 4)
+    assert found_dependencies(df, largest=3) == plain_dependencies(rows, 3)
+    # Nothing to slice by.
+    rows = [(None, None, None, None, None)] * 40
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found_keys(df) == set()
+    assert found_dependencies(df, largest=1) == plain_dependencies(rows, 1)
+
+
 @pytest.mark.parametrize("kind", ["wide", "keyed", "equal", "constant"])
 @pytest.mark.parametrize("size", [3, 12])
 def test_slices_leave_results_as_they_are(spark, monkeypatch, kind, size):
