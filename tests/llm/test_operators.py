@@ -22,7 +22,7 @@ from seektrail.llm import (
     token_counts,
     url_filter,
 )
-from seektrail.llm.common import packed
+from seektrail.llm.common import mix, packed
 from seektrail.llm.components import components
 from seektrail.llm import near_duplicates as near_duplicates_module
 from seektrail.llm.near_duplicates import near_duplicates
@@ -448,6 +448,47 @@ def test_language_on_held_out_documents(documents, odd):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_fit_reads_texts_twice(spark, documents):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    language_id.fit(documents.mapInArrow(counted, documents.schema))
+    assert seen.value == 2 * documents.count()
+    # Each task leaves out what can't be among the lowest, so that a frequent language is not one task.
+    plan = language_id._lowest(documents, language_id.FIT_ROWS // 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_equal_texts_have_equal_scores_wherever_they_stand():
+    weights = np.random.default_rng(4).normal(size=sum(language_id.SIZES))
+    machine = language_id.Machine("de", "en", weights, 0.1)
+    model = language_id.Model(("germanic",), {"germanic": ("de", "en")}, (), {"germanic": (machine,)})
+    texts = [t for k in range(40) for t in ("a", text_of(k), None, "", "né", "Some text.", text_of(99), "x1")]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    found = pa.Table.from_batches(language_id._predict(model)(iter([batch]))).to_pylist()
+    scores = {}
+    for text, row in zip(texts, found, strict=True):
+        scores.setdefault(text, set()).add((row["lang_pred"], row["score"]))
+    assert all(len(s) == 1 for s in scores.values()) and scores[None] == scores[""] == {("und", 0.0)}
+    for text in scores:
+        if text:
+            folded = re.sub(rb"[^a-z\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+            margin, start = 0.1, 0
+            for n, size in enumerate(language_id.SIZES, start=1):
+                grams = [int.from_bytes(folded[k : k + n], "big") for k in range(len(folded) - n + 1)]
+                if grams:
+                    codes = np.array(grams, np.uint64)
+                    places = (mix(codes) % np.uint64(size) if n > 1 else codes).astype(int)
+                    margin += 30 * weights[start + places].mean()
+                start += size
+            ((lang, score),) = scores[text]
+            assert lang == ("de" if margin > 0 else "en") and score == pytest.approx(1 / (1 + np.exp(-3 * abs(margin))))
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
     weight = {s: weights[k % 3] for k, s in enumerate(names)}
