@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seektrail.llm.common import in_groups, partitions
@@ -19,6 +20,9 @@ AXES = 6
 BITS = 10
 # Vectors of a curve that make one block.
 BLOCK = 1_024
+# Bytes of neighbouring blocks that a task takes together, and vectors that it compares queries with at once.
+STRIP_BYTES = 32 << 20
+_VECTORS = 8_192
 # Queries that the window width is measured on, and the share of their true neighbours it must reach.
 SAMPLE = 128
 RECALL = 0.97
@@ -50,14 +54,8 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _matrix(table: pa.Table | pa.RecordBatch, column: str = "vector") -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), np.float64).reshape(table.num_rows, -1)
-
-
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [np.array(v, np.float64).tobytes() for v in batch["embedding"].to_pylist()]
-        yield pa.record_batch({"rep": batch["rep"], "asked": batch["asked"], "vector": pa.array(rows, pa.binary())})
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.asarray(pc.list_flatten(table["embedding"]), np.float64).reshape(table.num_rows, -1)
 
 
 def _keys(axes: int, bits: int, curves: int):
@@ -97,21 +95,56 @@ def _best(scores: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray,
     return scores[order], ids[order]
 
 
-def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    return queries @ vectors.T
+def _rough(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vectors as 32-bit floats, as shares of the length of the longest one; and that length."""
+    longest = np.linalg.norm(vectors, axis=1).max()
+    return (vectors / longest).astype(np.float32), longest
 
 
-def _pack_lists(queries: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _nearest_of(
+    queries: np.ndarray, vectors: np.ndarray, rough: np.ndarray, longest: float, ids: np.ndarray, count: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query its `count` nearest vectors: rows of the queries, ascending, ids and scores.
+
+    Products of the rough vectors cost half as much and tell which vectors may be near; these get exact scores.
+    """
+    lengths = np.linalg.norm(queries, axis=1, keepdims=True)
+    asked = (queries / lengths).astype(np.float32)
+    # Over four times what such a product of two lengths of 1 at most can be off.
+    off = vectors.shape[1] * 2.0**-21
+    rows, names, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # What the product of a vector must reach for it to be among the nearest so far.
+    bound = np.full((len(queries), 1), -np.inf, np.float32)
+    for k in range(0, len(vectors), _VECTORS):
+        products = asked @ rough[k : k + _VECTORS].T
+        if not k and products.shape[1] > count:
+            # The first of them give a bound that is low, but no other needs to be sorted for it.
+            bound = np.partition(products[:, : max(count, _VECTORS // 4)], -count, axis=1)[:, [-count]] - off
+        row, column = np.divmod(np.flatnonzero(~(products < bound)), products.shape[1])
+        rows = np.concatenate([rows, row])
+        names = np.concatenate([names, ids[k + column]])
+        scores = np.concatenate([scores, np.einsum("ij,ij->i", queries[row], vectors[k + column])])
+        order = np.lexsort((names, -scores, rows))
+        rows, names, scores = rows[order], names[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == count - 1
+        bound[rows[last], 0] = scores[last] / (lengths[rows[last], 0] * longest) - off
+        rows, names, scores = rows[place < count], names[place < count], scores[place < count]
+    return rows, names, scores
+
+
+def _lists(queries: np.ndarray, rows: np.ndarray, names: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    limits = pa.array(np.searchsorted(rows, np.arange(len(queries) + 1)), pa.int32())
     return pa.record_batch(
         {
             "query": pa.array(queries, pa.int64()),
-            "ids": pa.array([i.astype(np.int64).tobytes() for _, i in lists], pa.binary()),
-            "scores": pa.array([s.tobytes() for s, _ in lists], pa.binary()),
+            "ids": pa.ListArray.from_arrays(limits, pa.array(names, pa.int64())),
+            "scores": pa.ListArray.from_arrays(limits, pa.array(scores)),
         }
     )
 
 
-_LISTS = "query bigint, ids binary, scores binary"
+_LISTS = "query bigint, ids array<bigint>, scores array<double>"
 
 
 def _exact(sample: np.ndarray, vectors: np.ndarray, count: int):
@@ -120,25 +153,34 @@ def _exact(sample: np.ndarray, vectors: np.ndarray, count: int):
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids = batch["rep"].to_numpy()
-                products = _products(vectors, _matrix(batch))
-                yield _pack_lists(sample, [_best(row, ids, count) for row in products])
+                others, ids = _matrix(batch), batch["rep"].to_numpy()
+                yield _lists(sample, *_nearest_of(vectors, others, *_rough(others), ids, count))
 
     return exact
 
 
-def _search(count: int):
+def _search(count: int, radius: int):
+    """The nearest of each strip to every query, from the blocks within the radius of its own.
+
+    A strip's rows are sorted by `ask` and `block`, so the blocks that a query looks at are side by side.
+    """
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, ["curve", "block"]):
+        for table in in_groups(batches, ["curve", "strip"]):
             asks = table["ask"].to_numpy()
             queries, others = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
             if not queries.num_rows or not others.num_rows:
                 continue
-            ids, vectors = others["rep"].to_numpy(), _matrix(others)
+            ids, vectors, blocks = others["rep"].to_numpy(), _matrix(others), others["block"].to_numpy()
             names, asked = queries["rep"].to_numpy(), _matrix(queries)
-            for k in range(0, len(names), 256):
-                products = _products(asked[k : k + 256], vectors)
-                yield _pack_lists(names[k : k + 256], [_best(row, ids, count) for row in products])
+            rough, longest = _rough(vectors)
+            own, starts = np.unique(queries["block"].to_numpy(), return_index=True)
+            for block, a, b in zip(own, starts, [*starts[1:], len(names)], strict=True):
+                near = slice(*np.searchsorted(blocks, [block - radius, block + radius + 1]))
+                for k in range(a, b, 256):
+                    some = slice(k, min(k + 256, b))
+                    found = _nearest_of(asked[some], vectors[near], rough[near], longest, ids[near], count)
+                    yield _lists(names[some], *found)
 
     return search
 
@@ -146,8 +188,8 @@ def _search(count: int):
 def _merge(count: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in in_groups(batches, ["query"]):
-            ids = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
-            scores = np.frombuffer(b"".join(table["scores"].to_pylist()), np.float64)
+            ids = np.asarray(pc.list_flatten(table["ids"]), np.int64)
+            scores = np.asarray(pc.list_flatten(table["scores"]), np.float64)
             ids, first = np.unique(ids, return_index=True)
             scores, ids = _best(scores[first], ids, count)
             yield pa.record_batch(
@@ -199,68 +241,68 @@ def nearest(
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.filter(
         e.isNotNull() & F.col("vec_id").isNotNull() & sound & F.exists(e, lambda x: x != 0)
-    ).select("vec_id", "embedding", F.expr(asks).alias("asks"))
-    lengths = usable.groupBy(F.size(e).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    common = lengths.orderBy(F.desc("rows"), F.desc("n")).first()
-    usable = usable.filter(F.size(e) == (common["n"] if common else 0))
-    nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    ids = usable.dropDuplicates(["vec_id", "embedding"])
-    few = ids.withColumn("nth", nth).filter(F.col("nth") <= count + 1)
-    classes = few.groupBy("embedding").agg(
-        F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("members")
     )
-    queries = ids.filter("asks").select("vec_id", "embedding")
-    asked = queries.select("embedding").distinct().withColumn("asked", F.lit(True))
-    classes = stored(
-        classes.join(asked, "embedding", "left").withColumn("asked", F.coalesce("asked", F.lit(False))),
-        "classes",
+    asking = F.coalesce(F.expr(asks), F.lit(False)).alias("asks")
+    # Equal vectors meet by their hash first, as sorting by a number is cheap.
+    usable = usable.select("vec_id", "embedding", asking, F.xxhash64(e).alias("hash"), F.size(e).alias("n"))
+    usable = stored(usable, "usable")
+    lengths = usable.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    common = lengths.orderBy(F.desc("rows"), F.desc("n")).first()
+    usable = usable.filter(F.col("n") == (common["n"] if common else 0))
+    classes = usable.groupBy("hash", "embedding").agg(
+        F.min("vec_id").alias("rep"), F.max("asks").alias("asked"), F.count(F.lit(1)).alias("rows")
     )
-    points = stored(classes.mapInArrow(_as_bytes, "rep bigint, asked boolean, vector binary"), "points")
+    points = stored(classes, "points")
+    # Only rows of repeated vectors have to be joined with them.
+    repeated = stored(points.filter("rows > 1").select("hash", "embedding", "rep"), "repeated")
+    copies = usable.join(repeated, ["hash", "embedding"]).select("rep", "vec_id", "asks").distinct()
+    single = points.filter("rows = 1").select("rep", F.col("rep").alias("vec_id"), F.col("asked").alias("asks"))
+    ids = stored(single.union(copies), "ids")
+    points = points.select("rep", "asked", "embedding")
     total = points.count()
     tasks = max(1, min(partitions(points), total * curves // (8 * block)))
-    keys = points.mapInArrow(_keys(AXES, BITS, curves), "curve int, key bigint, rep bigint")
+    # Stored, as the limits of the ranges are found on a sample, for which keys would be made twice.
+    keys = stored(points.mapInArrow(_keys(AXES, BITS, curves), "curve int, key bigint, rep bigint"), "keys")
+    order = ["curve", "key", "rep"]
+    laid = keys.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # A task's rows get rising numbers, so their order needs no window and no second shuffle.
     laid = stored(
-        keys.repartitionByRange(tasks, "curve", "key", "rep").withColumn("task", F.spark_partition_id()),
+        laid.select("curve", "rep", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")),
         "curves",
     )
-    order = Window.partitionBy("curve", "task").orderBy("key", "rep")
-    within = F.floor((F.row_number().over(order) - 1) / block)
-    blocks = laid.groupBy("curve", "task").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    before = F.sum("blocks").over(Window.partitionBy("curve").orderBy("task")) - F.col("blocks")
-    blocks = blocks.select("curve", "task", before.alias("before"))
-    placed = stored(
-        laid.withColumn("within", within)
-        .join(blocks, ["curve", "task"])
-        .select("curve", "rep", (F.col("before") + F.col("within")).cast("int").alias("block")),
-        "placed",
+    blocks = laid.groupBy("curve", "task").agg(
+        F.min("at").alias("first"), F.ceil(F.count(F.lit(1)) / block).alias("blocks")
     )
+    before = F.sum("blocks").over(Window.partitionBy("curve").orderBy("task")) - F.col("blocks")
+    blocks = blocks.select("curve", "task", "first", before.alias("before"))
+    within = F.floor((F.col("at") - F.col("first")) / block)
+    # A row for each task of a curve.
+    placed = laid.join(F.broadcast(blocks), ["curve", "task"])
+    placed = stored(placed.select("curve", "rep", (F.col("before") + within).cast("int").alias("block")), "placed")
     top = count + 1
     # A fixed number of queries, to measure on.
     some = points.filter("asked").orderBy(F.xxhash64("rep")).limit(sample).collect()
     some_ids = np.array([r["rep"] for r in some], np.int64)
-    some_vectors = np.array([np.frombuffer(r["vector"], np.float64) for r in some])
+    some_vectors = np.array([r["embedding"] for r in some], np.float64)
     truth = _merged(points.mapInArrow(_exact(some_ids, some_vectors, top), _LISTS), top) if some else None
-    radius = _radius(truth, placed, recall) if some else 0
-    reach = F.explode(F.sequence(F.col("block") - radius, F.col("block") + radius))
-    everything = placed.join(points, "rep")
-    columns = ["curve", "block", "rep", "ask", "vector"]
-    candidates = everything.withColumn("ask", F.lit(False)).select(*columns)
-    asking = everything.filter("asked").withColumns({"block": reach, "ask": F.lit(True)})
+    radius = _radius(truth, placed, some_ids.tolist(), recall) if some else 0
+    # Half the radius, so that a query goes to six strips of a curve at most, unless strips would be too large.
+    width = max(1, min(radius // 2, STRIP_BYTES // (8 * block * max(1, common["n"] if common else 1))))
+    strips = _strips(placed.join(points, "rep"), radius, width)
     lists = (
-        candidates.union(asking.select(*columns))
-        .repartition(partitions(points), "curve", "block")
-        .sortWithinPartitions("curve", "block")
-        .mapInArrow(_search(top), _LISTS)
+        strips.repartition(partitions(points), "curve", "strip")
+        .sortWithinPartitions("curve", "strip", "ask", "block")
+        .mapInArrow(_search(top, radius), _LISTS)
     )
     found = _merged(lists, top)
-    # From points to rows: a point's ids, its own query excepted.
-    members = found.join(classes.select("rep", "members"), "rep").select(
-        "query", "score", F.explode("members").alias("vec_id")
-    )
-    named = queries.join(classes.select("embedding", F.col("rep").alias("query")), "embedding")
+    # From points to rows: a point's smallest ids, its own query excepted.
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))
+    few = ids.select("rep", "vec_id").withColumn("nth", nth).filter(F.col("nth") <= top)
+    members = found.join(few, "rep").select("query", "score", "vec_id")
+    named = ids.filter("asks").select(F.col("rep").alias("query"), F.col("vec_id").alias("query_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     members = members.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= top)
-    pairs = members.join(named.select("query", F.col("vec_id").alias("query_id")), "query")
+    pairs = members.join(named, "query")
     pairs = pairs.filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (
@@ -270,13 +312,28 @@ def nearest(
     )
 
 
-def _radius(truth: DataFrame, placed: DataFrame, recall: float) -> int:
+def _strips(placed: DataFrame, radius: int, width: int) -> DataFrame:
+    """All points by strips of `width` blocks, and each query once for every strip that it reaches into."""
+
+    def strip(block: Column) -> Column:
+        return F.floor(block / width).cast("int")
+
+    own = F.col("block")
+    reach = F.sequence(strip(F.greatest(F.lit(0), own - radius)), strip(own + radius))
+    columns = ["curve", "strip", "block", "rep", "ask", "embedding"]
+    points = placed.withColumns({"strip": strip(own), "ask": F.lit(False)})
+    queries = placed.filter("asked").withColumns({"strip": F.explode(reach), "ask": F.lit(True)})
+    return points.select(*columns).union(queries.select(*columns))
+
+
+def _radius(truth: DataFrame, placed: DataFrame, sample: list[int], recall: float) -> int:
     """The smallest number of blocks to either side that finds the wanted share of `truth`."""
-    own = placed.select("curve", F.col("rep").alias("query"), F.col("block").alias("from"))
+    own = placed.filter(F.col("rep").isin(sample))
+    own = own.select("curve", F.col("rep").alias("query"), F.col("block").alias("from"))
+    # Both are of the sampled queries only: their neighbours, and their blocks on every curve.
     apart = (
-        truth.select("query", "rep")
-        .join(placed, "rep")
-        .join(own, ["query", "curve"])
+        placed.join(F.broadcast(truth.select("query", "rep")), "rep")
+        .join(F.broadcast(own), ["query", "curve"])
         .groupBy("query", "rep")
         .agg(F.min(F.abs(F.col("block") - F.col("from"))).alias("apart"))
     )

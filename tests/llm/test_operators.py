@@ -606,6 +606,41 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(neighbours, "_VECTORS", 64)
+    random = np.random.default_rng(8)
+    # Whole numbers, so that there are ties; and very short and long vectors.
+    for scale in (np.ones((500, 1)), 2.0 ** random.integers(-20, 21, size=(500, 1))):
+        vectors, queries = random.integers(-3, 4, size=(500, 6)) * scale, random.integers(1, 4, size=(30, 6)) * 1.0
+        vectors[~vectors.any(axis=1)] = 1.0
+        ids = random.permutation(500)
+        for most in (500, 10, 0):
+            rough, longest = neighbours._rough(vectors)
+            found = neighbours._nearest_of(queries, vectors[:most], rough[:most], longest, ids[:most], 21)
+            scores = np.einsum("ik,jk->ijk", queries, vectors[:most]).sum(axis=2)
+            best = [np.lexsort((ids[:most], -s))[:21] for s in scores]
+            assert found[0].tolist() == [q for q, b in enumerate(best) for _ in b]
+            assert found[1].tolist() == [ids[j] for b in best for j in b]
+            assert np.allclose(found[2], [scores[q, j] for q, b in enumerate(best) for j in b], rtol=1e-12)
+
+
+def test_queries_meet_strips_of_blocks(spark):
+    random, radius = np.random.default_rng(9), 12
+    vectors = random.normal(size=(1_000, 8))
+    blocks = [random.permutation(1_000) // 10 for _ in range(2)]
+    rows = [(c, int(blocks[c][i]), i, i % 20 == 0, vectors[i].tolist()) for c in range(2) for i in range(1_000)]
+    placed = spark.createDataFrame(rows, "curve int, block int, rep bigint, asked boolean, embedding array<double>")
+    strips = neighbours._strips(placed, radius, radius // 2)
+    copies = [r["count"] for r in strips.filter("ask").groupBy("rep", "curve").count().collect()]
+    assert len(copies) == 100 and max(copies) <= 6 < 2 * radius + 1
+    lists = strips.repartition(3, "curve", "strip").sortWithinPartitions("curve", "strip", "ask", "block")
+    found = neighbours._merged(lists.mapInArrow(neighbours._search(5, radius), neighbours._LISTS), 5).collect()
+    for q in range(0, 1_000, 20):
+        near = np.flatnonzero((abs(blocks[0] - blocks[0][q]) <= radius) | (abs(blocks[1] - blocks[1][q]) <= radius))
+        best = near[np.argsort(-(vectors[near] @ vectors[q]))[:5]]
+        assert {r["rep"] for r in found if r["query"] == q} == set(best.tolist())
+
+
 def test_grades_on_held_out_documents(spark, odd):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     ratings = quality_classifier.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
