@@ -23,6 +23,8 @@ BLOCK = 1_024
 # Bytes of neighbouring blocks that a task takes together, and vectors that it compares queries with at once.
 STRIP_BYTES = 32 << 20
 _VECTORS = 8_192
+# Numbers of vectors that are gathered at once for exact scores.
+_GATHERED = 1 << 22
 # Queries that the window width is measured on, and the share of their true neighbours it must reach.
 SAMPLE = 128
 RECALL = 0.97
@@ -107,23 +109,32 @@ def _nearest_of(
     """Per query its `count` nearest vectors: rows of the queries, ascending, ids and scores.
 
     Products of the rough vectors cost half as much and tell which vectors may be near; these get exact scores.
+    Where they are too many, as among vectors that hardly differ, exact products of all take their place.
     """
     lengths = np.linalg.norm(queries, axis=1, keepdims=True)
     asked = (queries / lengths).astype(np.float32)
-    # Over four times what such a product of two lengths of 1 at most can be off.
+    # Over twice what such a product of two lengths of 1 at most can be off.
     off = vectors.shape[1] * 2.0**-21
     rows, names, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     # What the product of a vector must reach for it to be among the nearest so far.
     bound = np.full((len(queries), 1), -np.inf, np.float32)
     for k in range(0, len(vectors), _VECTORS):
+        others = vectors[k : k + _VECTORS]
         products = asked @ rough[k : k + _VECTORS].T
         if not k and products.shape[1] > count:
             # The first of them give a bound that is low, but no other needs to be sorted for it.
             bound = np.partition(products[:, : max(count, _VECTORS // 4)], -count, axis=1)[:, [-count]] - off
-        row, column = np.divmod(np.flatnonzero(~(products < bound)), products.shape[1])
+        near = np.flatnonzero(~(products < bound))
+        many = len(near) * others.shape[1] > _GATHERED
+        if many:
+            products = queries @ others.T
+            least = np.partition(products, -count, axis=1)[:, [-count]] if len(others) > count else -np.inf
+            near = np.flatnonzero(products >= least)
+        row, column = np.divmod(near, len(others))
+        exact = products[row, column] if many else np.einsum("ij,ij->i", queries[row], others[column])
         rows = np.concatenate([rows, row])
         names = np.concatenate([names, ids[k + column]])
-        scores = np.concatenate([scores, np.einsum("ij,ij->i", queries[row], vectors[k + column])])
+        scores = np.concatenate([scores, exact])
         order = np.lexsort((names, -scores, rows))
         rows, names, scores = rows[order], names[order], scores[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)

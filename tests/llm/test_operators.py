@@ -606,8 +606,10 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
-def test_nearest_of_equals_brute_force(monkeypatch):
+@pytest.mark.parametrize("gathered", [1 << 22, 600])
+def test_nearest_of_equals_brute_force(monkeypatch, gathered):
     monkeypatch.setattr(neighbours, "_VECTORS", 64)
+    monkeypatch.setattr(neighbours, "_GATHERED", gathered)
     random = np.random.default_rng(8)
     # Whole numbers, so that there are ties; and very short and long vectors.
     for scale in (np.ones((500, 1)), 2.0 ** random.integers(-20, 21, size=(500, 1))):
@@ -624,6 +626,20 @@ def test_nearest_of_equals_brute_force(monkeypatch):
             assert np.allclose(found[2], [scores[q, j] for q, b in enumerate(best) for j in b], rtol=1e-12)
 
 
+def test_vectors_that_hardly_differ_are_not_gathered(monkeypatch):
+    """32-bit floats can't tell these apart, so all of them may be near."""
+    random = np.random.default_rng(10)
+    vectors = np.full((3_000, 16), 0.25) + random.normal(size=(3_000, 16)) * 1e-9
+    gathered = []
+    monkeypatch.setattr(neighbours.np, "einsum", lambda how, a, b, f=np.einsum: gathered.append(a.size) or f(how, a, b))
+    monkeypatch.setattr(neighbours, "_GATHERED", 10_000)
+    found = neighbours._nearest_of(vectors[:40], vectors, *neighbours._rough(vectors), np.arange(3_000), 21)
+    assert max(gathered, default=0) <= 10_000
+    scores = vectors[:40] @ vectors.T
+    for q in range(40):
+        assert found[1][found[0] == q].tolist() == np.lexsort((np.arange(3_000), -scores[q]))[:21].tolist()
+
+
 def test_queries_meet_strips_of_blocks(spark):
     random, radius = np.random.default_rng(9), 12
     vectors = random.normal(size=(1_000, 8))
